@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from quotalens.functions import finite_or_null, ratio_or_null
 from quotalens.operators.ranking import (
-    best_row, column_quantiles, null_safe_join, percent_rank_average, quantiles, unpivot, with_totals,
+    best_row, column_quantiles, null_safe_join, percent_rank_average, quantiles, unpivot, with_scalars, with_totals,
 )
 
 NUMERIC = (T.NumericType,)
@@ -53,7 +53,7 @@ def grain_comparison(df: DataFrame, grains: Sequence[Sequence[str]]) -> DataFram
         facts = sizes.agg(F.count(F.lit(1)).alias("observations"),
                           (F.avg(F.when(F.col("n") == 1, 1.0).otherwise(0.0)) * 100).alias("single_row_pct"))
         middle = quantiles(sizes, [], "n", {"median_rows": 0.5})
-        row = facts.crossJoin(F.broadcast(middle)).select(name, "observations", "median_rows", "single_row_pct")
+        row = with_scalars(facts, middle).select(name, "observations", "median_rows", "single_row_pct")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -129,7 +129,7 @@ def cluster_profiles(df: DataFrame, cluster: str, metrics: Mapping[str, str], fl
         return long.groupBy(*keys).agg(*[F.max(F.when(F.col("column_name") == m, F.col("median"))).alias(f"{prefix}{m}") for m in names])
 
     out = null_safe_join(base, wide_medians(df, [cluster], "median_"), [cluster], "left")
-    out = out.crossJoin(F.broadcast(everyone)).crossJoin(F.broadcast(wide_medians(df, [], "_median_")))
+    out = with_scalars(with_scalars(out, everyone), wide_medians(df, [], "_median_"))
     for name, c in categories.items():
         from quotalens.operators.shares import dominant_member
         out = null_safe_join(out, dominant_member(df, [cluster], c, name), [cluster], "left")
@@ -141,15 +141,14 @@ def cluster_profiles(df: DataFrame, cluster: str, metrics: Mapping[str, str], fl
                                  (F.col(f"{stat}_{m}") - ref) / F.greatest(F.abs(ref), F.lit(1e-9)) * 100.0)
     spread = base.agg(*[F.avg(f"mean_{m}").alias(f"_center_{m}") for m in names],
                       *[F.stddev_pop(f"mean_{m}").alias(f"_spread_{m}") for m in names])
-    out = out.crossJoin(F.broadcast(spread))
+    out = with_scalars(out, spread)
     words = []
     for m, label in metrics.items():
         z = F.when(F.col(f"_spread_{m}") > 1e-12, (F.col(f"mean_{m}") - F.col(f"_center_{m}")) / F.col(f"_spread_{m}")).otherwise(0.0)
         words.append(F.when(z >= 0.65, f"higher {label}").when(z <= -0.65, f"lower {label}"))
     words.append(F.when(F.col("anomaly_rate") >= F.col("_rate") + 0.03, "elevated review-label rate"))
     found = F.slice(F.array_compact(F.array(*words)), 1, 5)
-    sentence = F.when(F.size(found) == 0, "near-population-average operating pattern").otherwise(F.concat_ws("; ", found))
-    sentence = F.concat(F.upper(F.substring(sentence, 1, 1)), F.lower(F.expr("substring(_s, 2)")))
+    sentence = F.concat(F.upper(F.substring("_s", 1, 1)), F.lower(F.expr("substring(_s, 2)")))
     out = out.withColumn("_s", F.when(F.size(found) == 0, "near-population-average operating pattern").otherwise(F.concat_ws("; ", found)))
     out = out.withColumn("business_interpretation", F.concat(
         F.when(F.col(cluster) == -1, "Density-isolated; ").otherwise(""), sentence, F.lit(".")))
@@ -168,7 +167,7 @@ def category_comparison(df: DataFrame, category: str, score: str, flag: str | No
     """Flag rate of the largest categories; without a flag the top decile of the score counts."""
     if flag is None:
         cut = quantiles(df, [], score, {"_cut": 0.9})
-        df = df.crossJoin(F.broadcast(cut)).withColumn("_flag", F.col(score) >= F.col("_cut"))
+        df = with_scalars(df, cut).withColumn("_flag", F.col(score) >= F.col("_cut"))
         flag = "_flag"
     grouped = df.groupBy(category).agg(F.count(F.lit(1)).alias("observations"), rate(F.col(flag)).alias("anomaly_rate"),
                                        F.avg(score).alias("average_score"))

@@ -22,9 +22,14 @@ MAX_EDGES = 512
 def with_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:
     """Attach group totals by aggregate-then-join (groups of any size, AQE splits hot keys)."""
     aggregated = df.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
-    if not keys:
-        return df.crossJoin(F.broadcast(aggregated))  # one row
-    return null_safe_join(df, aggregated, keys, "left")
+    return null_safe_join(df, aggregated, keys, "left") if keys else with_scalars(df, aggregated)
+
+
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row result to every row; more than one row fails the query."""
+    tag = "_s" + uuid.uuid4().hex[:8]
+    value = one_row.select(F.struct(*[F.col(c) for c in one_row.columns])).scalar()
+    return df.withColumn(tag, value).select(*df.columns, *[F.col(f"{tag}.{c}").alias(c) for c in one_row.columns])
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -39,30 +44,29 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined.drop(*[f"{k}__{tag}" for k in keys])
 
 
+def in_buckets(distinct: DataFrame, keys: Sequence[str], value: str, sample_every: int | None = None) -> DataFrame:
+    """Add ``_bucket``: an order-preserving cut of distinct values by a bounded hash sample of them."""
+    sampled = distinct.filter(F.pmod(F.xxhash64(value), F.lit(sample_every or SAMPLE_EVERY)) == 0)
+    step = F.greatest(F.lit(1), F.ceil(F.size("_all") / F.lit(MAX_EDGES)).cast("int"))
+    edges = (
+        sampled.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("_all"))
+        .select(*keys, F.filter("_all", lambda v, i: F.pmod(i, step) == 0).alias("_edges"))
+    )
+    cut = null_safe_join(distinct, edges, keys, "left") if keys else with_scalars(distinct, edges)
+    below_edge = F.size(F.filter("_edges", lambda e: e < F.col(value)))
+    return cut.withColumn("_bucket", F.coalesce(F.when(F.col("_edges").isNotNull(), below_edge), F.lit(0))).drop("_edges")
+
+
 def positions(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None,
               sample_every: int | None = None) -> DataFrame:
     """One row per (group, distinct non-null value): ``n_equal``, ``n_below``, ``n_total``.
 
     With ``weight`` the three are sums of that column instead of row counts.
     """
-    every = sample_every or SAMPLE_EVERY
     keys = list(keys)
     amount = F.sum(weight) if weight else F.count(F.lit(1))
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(amount.alias("n_equal"))
-
-    sampled = counts.filter(F.pmod(F.xxhash64(value), F.lit(every)) == 0)
-    ordered = F.array_sort(F.collect_set(value))
-    step = F.greatest(F.lit(1), F.ceil(F.size("_all") / F.lit(MAX_EDGES)).cast("int"))
-    edges = (
-        sampled.groupBy(*keys).agg(ordered.alias("_all"))
-        .select(*keys, F.filter("_all", lambda v, i: F.pmod(i, step) == 0).alias("_edges"))
-    )
-    if keys:
-        cut = null_safe_join(counts, edges, keys, "left")
-    else:
-        cut = counts.crossJoin(F.broadcast(edges))  # one row
-    below_edge = F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    cut = cut.withColumn("_bucket", F.coalesce(F.when(F.col("_edges").isNotNull(), below_edge), F.lit(0))).drop("_edges")
+    cut = in_buckets(counts, keys, value, sample_every)
 
     per_bucket = cut.groupBy(*keys, "_bucket").agg(F.sum("n_equal").alias("_size"))
     over_buckets = W.partitionBy(*keys).orderBy("_bucket")
@@ -175,14 +179,14 @@ def top_fraction(df: DataFrame, score: str, tie: str, fraction: float, out: str,
     keys = list(keys)
     cut = budget_threshold(df, score, fraction, keys).drop("n_total", "review_count")
     filled = df.withColumn("_score", F.coalesce(F.col(score), F.lit(float("-inf"))))
-    marked = null_safe_join(filled, cut, keys, "left") if keys else filled.crossJoin(F.broadcast(cut))
+    marked = null_safe_join(filled, cut, keys, "left") if keys else with_scalars(filled, cut)
     tied = marked.filter(F.col("_score") == F.col("threshold"))
     last = (
         positions(tied.select(*keys, tie, "ties_taken"), [*keys, "ties_taken"], tie)
         .filter(F.col("n_below") == F.col("ties_taken") - 1)
         .select(*keys, F.col(tie).alias("_last"))
     )
-    marked = null_safe_join(marked, last, keys, "left") if keys else marked.crossJoin(F.broadcast(last))
+    marked = null_safe_join(marked, last, keys, "left") if keys else with_scalars(marked, last)
     flag = (F.col("_score") > F.col("threshold")) | ((F.col("_score") == F.col("threshold")) & (F.col(tie) <= F.col("_last")))
     return marked.withColumn(out, F.coalesce(flag, F.lit(False))).drop("_score", "threshold", "ties_taken", "_last")
 
