@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from quotalens.functions import tenure_months  # noqa: F401
 from quotalens.operators import joins as J, ranking as R
 from quotalens.queries.base import CLASS_MONTH, LEDGER, REP_MONTH, SCORES, class_month, ledger, read, rep_month, scores
 from quotalens.queries.registry import query
@@ -210,25 +209,20 @@ def interpolated_lookup(spark, sf):
 
 @query("truth_resolution_ladder", REP_MONTH + """
 , rec AS (SELECT rep_id, period, team AS territory, CAST(rep_id AS VARCHAR) || '-' || strftime(period, '%Y-%m') AS record_id FROM rep_month)
-, truth AS (SELECT o_orderkey AS truth_id, o_orderkey % 4 AS kind, CAST(date_trunc('month', o_orderdate) AS DATE) AS period,
-   CAST(o_custkey % 100 AS VARCHAR) || '-' || strftime(o_orderdate, '%Y-%m') AS listed, o_custkey % 100 AS rep,
-   r_name AS territory FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
-SELECT truth_id, record_id, 'record' AS basis FROM truth JOIN rec ON listed = record_id WHERE kind = 0 UNION ALL
-SELECT truth_id, record_id, 'period+rep_id' FROM truth JOIN rec ON rec.rep_id = truth.rep AND rec.period = truth.period WHERE kind = 1 UNION ALL
-SELECT truth_id, record_id, 'period+territory' FROM truth JOIN rec ON rec.territory = truth.territory AND rec.period = truth.period WHERE kind IN (2, 3)""")
+, truth AS (SELECT order_id AS truth_id, any_value(o_orderstatus) AS kind, max(period) AS period, min(rep_id) AS rep, max(country) AS territory
+   FROM ledger JOIN orders ON order_id = o_orderkey GROUP BY 1)
+SELECT truth_id, record_id, 'record' AS basis FROM truth JOIN rec ON CAST(rep AS VARCHAR) || '-' || strftime(truth.period, '%Y-%m') = record_id WHERE kind = 'F' UNION ALL
+SELECT truth_id, record_id, 'period+rep_id' FROM truth JOIN rec ON rec.rep_id = truth.rep AND rec.period = truth.period WHERE kind = 'O' UNION ALL
+SELECT truth_id, record_id, 'period+territory' FROM truth JOIN rec ON rec.territory = truth.territory AND rec.period = truth.period WHERE kind = 'P'""")
 def truth_resolution_ladder(spark, sf):
-    month = F.date_format("period", "yyyy-MM")
-    rec = rep_month(spark, sf).select("rep_id", "period", F.col("team").alias("territory"),
-                                      F.concat(F.col("rep_id").cast("string"), F.lit("-"), month).alias("record_id"))
-    base = (read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-            .join(read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")))
-    kind = F.col("o_orderkey") % 4
-    rep = F.col("o_custkey") % 100
-    truth = base.select(
-        F.col("o_orderkey").alias("truth_id"), F.trunc("o_orderdate", "MM").alias("period"),
-        F.when(kind == 0, F.array(F.concat(rep.cast("string"), F.lit("-"), F.date_format("o_orderdate", "yyyy-MM")))).alias("ids"),
-        F.when(kind == 1, rep).alias("rep_id"), F.col("r_name").alias("territory"))
+    label = lambda rep: F.concat(F.col(rep).cast("string"), F.lit("-"), F.date_format("period", "yyyy-MM"))
+    rec = rep_month(spark, sf).select("rep_id", "period", F.col("team").alias("territory"), label("rep_id").alias("record_id"))
+    per_order = ledger(spark, sf).groupBy(F.col("order_id").alias("truth_id")).agg(
+        F.max("period").alias("period"), F.min("rep_id").alias("rep"), F.max("country").alias("territory"))
+    status = read(spark, sf, "orders").select(F.col("o_orderkey").alias("truth_id"), F.col("o_orderstatus").alias("kind"))
+    truth = per_order.join(status, "truth_id").select(
+        "truth_id", "period", "territory", F.when(F.col("kind") == "F", F.array(label("rep"))).alias("ids"),
+        F.when(F.col("kind") == "O", F.col("rep")).alias("rep_id"))
     return J.resolve_by_ladder(truth, "truth_id", rec, "record_id", "ids", [["period", "rep_id"], ["period", "territory"]])
 
 
