@@ -7,9 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from quotalens.functions import finite_or_null, ratio_or_null
+from quotalens.functions import finite_or_null
 from quotalens.operators.ranking import (
-    best_row, column_quantiles, null_safe_join, percent_rank_average, quantiles, unpivot, with_scalars, with_totals,
+    best_row, column_quantiles, null_safe_join, percent_ranks, quantiles, unpivot, with_scalars, with_totals,
 )
 
 NUMERIC = (T.NumericType,)
@@ -203,7 +203,7 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def spearman(df: DataFrame, left: str, right: str, keys: Sequence[str] = ()) -> DataFrame:
     """Rank correlation with averaged ties, per group, over rows where both are present."""
     both = df.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).select(*keys, left, right)
-    ranked = percent_rank_average(percent_rank_average(both, keys, left, "_l"), keys, right, "_r")
+    ranked = percent_ranks(both, keys, {left: "_l", right: "_r"})
     return ranked.groupBy(*keys).agg(F.corr("_l", "_r").alias("spearman"))
 
 
@@ -271,5 +271,3 @@ def distinct_per_group(df: DataFrame, keys: Sequence[str], c: str, out: str) ->
     """Distinct count of the group on every row."""
     return with_totals(df, keys, **{out: F.count_distinct(c)})
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["unpivot", "ratio_or_null"]

@@ -12,7 +12,7 @@ from quotalens.functions import (
 from quotalens.operators import aggregates as A, history as H, shares as S
 from quotalens.operators.joins import assemble
 from quotalens.operators.peers import peer_means, peer_statistics, potential_residual, wide_by_metric
-from quotalens.operators.ranking import null_safe_join, percent_rank_average, quantiles, with_totals
+from quotalens.operators.ranking import null_safe_join, percent_rank_average, percent_ranks, quantiles, with_totals
 
 
 def customer_context(orders: DataFrame, customer: str, period: str, value: str) -> DataFrame:
@@ -33,7 +33,7 @@ def territory_context(orders: DataFrame, territory: str, customer: str, period:
         F.count(F.lit(1)).cast("double").alias("_n"))
     h = sales.join(firsts, [territory, period], "left").withColumn("_n", F.coalesce("_n", F.lit(0.0)))
     h = h.withColumn("_ps", H.prior_total("_s", [territory], period)).withColumn("_pn", H.prior_total("_n", [territory], period))
-    h = percent_rank_average(percent_rank_average(h, [period], "_ps", "_a"), [period], "_pn", "_b")
+    h = percent_ranks(h, [period], {"_ps": "_a", "_pn": "_b"})
     h = with_totals(h, [period], _top=F.max("_ps"))
     potential = F.when(F.col("_top") <= 0, 50.0).otherwise(50.0 + 25.0 * (F.col("_a") + F.col("_b") - 1.0))
     return h.select(territory, period, F.greatest(F.lit(1.0), F.least(F.lit(100.0), potential)).alias("potential"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quotalens.operators.ranking import (
-    in_buckets, null_safe_join, percent_rank_average, positions, quantiles, top_fraction, unpivot, with_scalars, with_totals,
+    budget, null_safe_join, percent_rank_average, percent_ranks, positions, quantiles, row_numbers, unpivot, with_scalars,
 )
 from quotalens.operators.joins import interpolate
 
@@ -18,13 +18,17 @@ def _div(a, b) -> Column:
     return F.when(b > 0, a / F.when(b > 0, b)).otherwise(F.lit(0.0))
 
 
-def confusion_metrics(df: DataFrame, keys: Sequence[str], label: str, predicted: str) -> DataFrame:
-    """Counts, precision, recall, F1, F2, specificity and balanced accuracy in one aggregate."""
+CELLS = ("true_positives", "false_positives", "false_negatives", "true_negatives")
+
+
+def _confusion_sums(label: str, predicted: str) -> list[Column]:
     y, p = F.col(label), F.col(predicted)
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    g = df.groupBy(*keys).agg(
-        n(y & p).alias("true_positives"), n(~y & p).alias("false_positives"), n(y & ~p).alias("false_negatives"), n(~y & ~p).alias("true_negatives"))
-    tp, fp, fn, tn = (F.col(c) for c in ("true_positives", "false_positives", "false_negatives", "true_negatives"))
+    cells = (y & p, ~y & p, y & ~p, ~y & ~p)
+    return [F.sum(F.when(c, 1).otherwise(0)).alias(name) for name, c in zip(CELLS, cells)]
+
+
+def _confusion_from(g: DataFrame) -> DataFrame:
+    tp, fp, fn, tn = (F.col(c) for c in CELLS)
     g = g.withColumn("precision", _div(tp, tp + fp)).withColumn("recall", _div(tp, tp + fn))
     fbeta = lambda b: _div((1 + b * b) * tp, (1 + b * b) * tp + b * b * fn + fp)
     specificity = F.when(tn + fp > 0, tn / F.when(tn + fp > 0, tn + fp))
@@ -32,23 +36,24 @@ def confusion_metrics(df: DataFrame, keys: Sequence[str], label: str, predicted:
     return (
         g.withColumn("f1", fbeta(1)).withColumn("f2", fbeta(2)).withColumn("specificity", specificity)
         .withColumn("balanced_accuracy", F.when(both, (F.col("recall") + F.col("specificity")) / 2.0))
-        .withColumn("predicted_anomalies", tp + fp).withColumn("predicted_anomaly_pct", (tp + fp) / (tp + fp + tn + fn) * 100.0)
+        .withColumn("predicted_anomalies", tp + fp).withColumn("predicted_anomaly_pct", (tp + fp) / (tp + fp + fn + tn) * 100.0)
     )
 
 
+def confusion_metrics(df: DataFrame, keys: Sequence[str], label: str, predicted: str) -> DataFrame:
+    """Counts, precision, recall, F1, F2, specificity and balanced accuracy in one aggregate."""
+    return _confusion_from(df.groupBy(*keys).agg(*_confusion_sums(label, predicted)))
+
+
 def score_steps(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
     """Per distinct score: rows and positives, and both cumulated from the highest score down.
 
     Everything downstream (AUC, average precision, curves) works on distinct scores.
     """
     d = df.filter(F.col(score).isNotNull()).select(*keys, F.col(score).cast("double").alias("threshold"), F.when(F.col(label), 1).otherwise(0).alias("_y"))
-    rows = positions(d, keys, "threshold")
-    hits = positions(d, keys, "threshold", weight="_y").select(
-        *keys, "threshold", F.col("n_equal").alias("positives"), F.col("n_below").alias("_pos_below"), F.col("n_total").alias("_pos_total"))
-    both = null_safe_join(rows, hits, [*keys, "threshold"], "inner")
-    return both.select(
-        *keys, "threshold", F.col("n_equal").alias("rows"), "positives", F.col("n_total").alias("n"), F.col("_pos_total").alias("p"),
-        (F.col("n_total") - F.col("n_below")).alias("cum_rows"), (F.col("_pos_total") - F.col("_pos_below")).alias("cum_positives"))
+    return positions(d, keys, "threshold", {"pos": "_y"}).select(
+        *keys, "threshold", F.col("n_equal").alias("rows"), F.col("pos_equal").alias("positives"), F.col("n_total").alias("n"), F.col("pos_total").alias("p"),
+        (F.col("n_total") - F.col("n_below")).alias("cum_rows"), (F.col("pos_total") - F.col("pos_below")).alias("cum_positives"))
 
 
 def area_metrics(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -65,37 +70,49 @@ def area_metrics(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def ranking_metrics(df: DataFrame, keys: Sequence[str], label: str, score: str, tie: str, cutoffs: Sequence[float] = CUTOFFS) -> DataFrame:
-    """Precision, recall and lift in the exact top fraction, one row per cutoff."""
-    out = None
-    for cutoff in cutoffs:
-        flagged = top_fraction(df.select(*keys, label, score, tie), score, tie, cutoff, "_top", keys)
-        y, t = F.col(label), F.col("_top")
-        n = lambda c: F.sum(F.when(c, 1).otherwise(0))
-        g = flagged.groupBy(*keys).agg(n(t).alias("review_count"), n(y).alias("positive_count"), n(y & t).alias("captured_count"), F.count(F.lit(1)).alias("_n"))
-        precision = F.col("captured_count") / F.greatest(F.col("review_count"), F.lit(1))
-        positive = F.col("positive_count")
-        g = g.select(
-            *keys, F.lit(float(cutoff)).alias("review_fraction"), "review_count", "positive_count", "captured_count", precision.alias("precision"),
-            F.when(positive > 0, F.col("captured_count") / F.when(positive > 0, positive)).alias("recall"),
-            F.when(positive > 0, precision / F.when(positive > 0, positive / F.col("_n"))).alias("lift"))
-        out = g if out is None else out.unionByName(g)
-    return out
+    """Precision, recall and lift in the exact top fraction, one row per cutoff, from one ranking."""
+    ranked = row_numbers(df.select(*keys, label, score, tie), score, tie, "_rank", keys, size="_total")
+    return _ranking_rows(ranked, keys, label, cutoffs)
+
+
+def _ranking_rows(ranked: DataFrame, keys: Sequence[str], label: str, cutoffs: Sequence[float]) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(float(c)).alias("review_fraction"), (F.col("_rank") <= budget(F.col("_total"), c)).alias("_top")) for c in cutoffs])
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    y, t = F.col(label), F.col("_top")
+    g = ranked.select(*keys, label, F.inline(cells)).groupBy(*keys, "review_fraction").agg(
+        n(t).alias("review_count"), n(y).alias("positive_count"), n(y & t).alias("captured_count"), F.count(F.lit(1)).alias("_n"))
+    precision = F.col("captured_count") / F.greatest(F.col("review_count"), F.lit(1))
+    positive = F.col("positive_count")
+    return g.select(
+        *keys, "review_fraction", "review_count", "positive_count", "captured_count", precision.alias("precision"),
+        F.when(positive > 0, F.col("captured_count") / F.when(positive > 0, positive)).alias("recall"),
+        F.when(positive > 0, precision / F.when(positive > 0, positive / F.col("_n"))).alias("lift"))
 
 
 def evaluate(df: DataFrame, keys: Sequence[str], label: str, score: str, tie: str, fraction: float = 0.05,
              predicted: str | None = None) -> DataFrame:
     """The shared metric row per group: confusion at the budget (or a given flag), areas and top-k ratios."""
+    keys = list(keys)
+    columns = list(dict.fromkeys([*keys, label, score, tie, *([predicted] if predicted else [])]))
+    ranked = row_numbers(df.select(*columns), score, tie, "_rank", keys, size="_total")
+    flag = predicted or "_flag"
     if predicted is None:
-        df = top_fraction(df, score, tie, fraction, "_flag", keys)
-        predicted = "_flag"
-    base = confusion_metrics(df, keys, label, predicted)
+        ranked = ranked.withColumn("_flag", F.col("_rank") <= budget(F.col("_total"), fraction))
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    y = F.col(label)
+    in_top = {c: F.col("_rank") <= budget(F.col("_total"), c) for c in CUTOFFS}
+    tops = [x for c, t in in_top.items() for x in (n(t).alias(f"_k_{round(c * 100)}"), n(t & y).alias(f"_tp_{round(c * 100)}"))]
+    base = _confusion_from(ranked.groupBy(*keys).agg(*_confusion_sums(label, flag), *tops))
+    p, total = F.col("true_positives") + F.col("false_negatives"), sum((F.col(c) for c in CELLS), F.lit(0))
+    for c in CUTOFFS:
+        k, tp, tag = F.col(f"_k_{round(c * 100)}"), F.col(f"_tp_{round(c * 100)}"), f"{round(c * 100)}pct"
+        precision = tp / F.greatest(k, F.lit(1))
+        base = base.withColumns({
+            f"precision_at_{tag}": precision, f"recall_at_{tag}": F.when(p > 0, tp / F.when(p > 0, p)),
+            f"lift_at_{tag}": F.when(p > 0, precision / F.when(p > 0, p / total))}).drop(f"_k_{round(c * 100)}", f"_tp_{round(c * 100)}")
+    base = base.withColumn("top_decile_capture", F.col("recall_at_10pct"))
     area = area_metrics(score_steps(df, keys, label, score), keys)
-    ranked = ranking_metrics(df, keys, label, score, tie)
-    wide = ranked.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("review_fraction") == c, F.col(m))).alias(f"{m}_at_{round(c * 100)}pct") for c in CUTOFFS for m in ("precision", "recall", "lift")])
-    wide = wide.withColumn("top_decile_capture", F.col("recall_at_10pct"))
-    join = (lambda a, b: null_safe_join(a, b, keys, "inner")) if keys else with_scalars
-    return join(join(base, area), wide)
+    return null_safe_join(base, area, keys, "inner") if keys else with_scalars(base, area)
 
 
 def selection_utility(recall: str = "recall_at_5pct", pr: str = "pr_auc", f2: str = "f2") -> Column:
@@ -113,13 +130,12 @@ def pr_curve(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def lift_curve(df: DataFrame, label: str, score: str, tie: str, keys: Sequence[str] = ()) -> DataFrame:
     """One row per review rank: captured positives, precision, recall and lift so far."""
-    from quotalens.operators.ranking import row_numbers
     keys = list(keys)
-    ranked = row_numbers(df.select(*keys, label, score, tie), score, tie, "review_rank", keys)
-    hits = ranked.withColumn("_y", F.when(F.col(label), 1).otherwise(0))
-    seen = positions(hits, keys, "review_rank", weight="_y").select(
-        *keys, "review_rank", (F.col("n_below") + F.col("n_equal")).alias("captured_count"), F.col("n_total").alias("_p"))
-    out = with_totals(null_safe_join(hits, seen, [*keys, "review_rank"], "inner"), keys, _n=F.count(F.lit(1)))
+    order = F.struct((-F.col(score).cast("double")).alias("s"), F.col(tie).alias("t"))
+    d = df.select(*keys, order.alias("_order"), F.when(F.col(label), 1).otherwise(0).alias("_y"))
+    out = positions(d, keys, "_order", {"pos": "_y"}).select(
+        *keys, (F.col("n_below") + 1).alias("review_rank"), (-F.col("_order.s")).alias(score), (F.col("pos_below") + F.col("pos_equal")).alias("captured_count"),
+        F.col("pos_total").alias("_p"), F.col("n_total").alias("_n"))
     precision = F.col("captured_count") / F.col("review_rank")
     return out.select(
         *keys, "review_rank", (F.col("review_rank") / F.col("_n")).alias("review_fraction"), F.col(score).alias("threshold"), "captured_count",
@@ -131,8 +147,8 @@ def lift_curve(df: DataFrame, label: str, score: str, tie: str, keys: Sequence[s
 def ecdf_score(df: DataFrame, reference: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Fraction of reference values at or below each value."""
     both = reference.select(*keys, value, F.lit(1).alias("_ref")).unionByName(df.select(*keys, value, F.lit(0).alias("_ref")))
-    pos = positions(both, keys, value, weight="_ref").select(
-        *keys, value, ((F.col("n_below") + F.col("n_equal")) / F.when(F.col("n_total") > 0, F.col("n_total"))).alias(out))
+    pos = positions(both, keys, value, {"ref": "_ref"}).select(
+        *keys, value, ((F.col("ref_below") + F.col("ref_equal")) / F.when(F.col("ref_total") > 0, F.col("ref_total"))).alias(out))
     return null_safe_join(df, pos, [*keys, value], "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
@@ -171,9 +187,10 @@ def calibrate(df: DataFrame, calibrator: DataFrame, keys: Sequence[str], raw: st
 
 def score_stability(df: DataFrame, a: str, b: str, tie: str, fraction: float = 0.05) -> DataFrame:
     """Rank correlation of two score columns and the overlap of their top fractions (one row)."""
-    flagged = top_fraction(top_fraction(df, a, tie, fraction, "_fa"), b, tie, fraction, "_fb")
+    pick = lambda c, name: row_numbers(df.select(tie, c), c, tie, "_r", size="_n").select(tie, (F.col("_r") <= budget(F.col("_n"), fraction)).alias(name))
+    flagged = pick(a, "_fa").join(pick(b, "_fb"), [tie])
     overlap = flagged.agg((F.sum(F.when(F.col("_fa") & F.col("_fb"), 1.0).otherwise(0.0)) / F.greatest(F.sum(F.col("_fa").cast("int")), F.lit(1))).alias("queue_overlap"))
-    ranked = percent_rank_average(percent_rank_average(df.select(tie, a, b), [], a, "_ra"), [], b, "_rb")
+    ranked = percent_ranks(df.select(tie, a, b), [], {a: "_ra", b: "_rb"})
     return with_scalars(ranked.agg(F.corr("_ra", "_rb").alias("score_correlation")), overlap)
 
 
@@ -348,5 +365,3 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     gap = maximum - expected
     return joined.select(F.when(gap == 0, 1.0).otherwise((F.col("_both") - expected) / F.when(gap != 0, gap)).alias("adjusted_rand"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["in_buckets"]

@@ -57,31 +57,29 @@ def in_buckets(distinct: DataFrame, keys: Sequence[str], value: str, sample_ever
     return cut.withColumn("_bucket", F.coalesce(F.when(F.col("_edges").isNotNull(), below_edge), F.lit(0))).drop("_edges")
 
 
-def positions(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None,
+def positions(df: DataFrame, keys: Sequence[str], value: str, weights: Mapping[str, str] | None = None,
               sample_every: int | None = None) -> DataFrame:
     """One row per (group, distinct non-null value): ``n_equal``, ``n_below``, ``n_total``.
 
-    With ``weight`` the three are sums of that column instead of row counts.
+    ``weights`` adds the same three for sums of columns: {"pos": "_y"} gives pos_equal, pos_below, pos_total.
     """
     keys = list(keys)
-    amount = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(amount.alias("n_equal"))
+    amounts = {"n": F.count(F.lit(1)), **{name: F.sum(c) for name, c in (weights or {}).items()}}
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[a.alias(f"{n}_equal") for n, a in amounts.items()])
     cut = in_buckets(counts, keys, value, sample_every)
 
-    per_bucket = cut.groupBy(*keys, "_bucket").agg(F.sum("n_equal").alias("_size"))
+    per_bucket = cut.groupBy(*keys, "_bucket").agg(*[F.sum(f"{n}_equal").alias(f"_{n}") for n in amounts])
     over_buckets = W.partitionBy(*keys).orderBy("_bucket")
     whole = W.partitionBy(*keys)
     offsets = per_bucket.select(
         *keys, "_bucket",
-        (F.sum("_size").over(over_buckets) - F.col("_size")).alias("_before"),
-        F.sum("_size").over(whole).alias("n_total"),
-    )
+        *[(F.sum(f"_{n}").over(over_buckets) - F.col(f"_{n}")).alias(f"_{n}_before") for n in amounts],
+        *[F.sum(f"_{n}").over(whole).alias(f"{n}_total") for n in amounts])
     inside = W.partitionBy(*keys, "_bucket").orderBy(value)
-    running = cut.withColumn("_inside", F.sum("n_equal").over(inside) - F.col("n_equal"))
-    return (
-        null_safe_join(running, offsets, keys + ["_bucket"], "inner")
-        .select(*keys, value, "n_equal", (F.col("_before") + F.col("_inside")).alias("n_below"), "n_total")
-    )
+    running = cut.withColumns({f"_{n}_inside": F.sum(f"{n}_equal").over(inside) - F.col(f"{n}_equal") for n in amounts})
+    joined = null_safe_join(running, offsets, keys + ["_bucket"], "inner")
+    return joined.select(*keys, value, *[x for n in amounts for x in (
+        F.col(f"{n}_equal"), (F.col(f"_{n}_before") + F.col(f"_{n}_inside")).alias(f"{n}_below"), F.col(f"{n}_total"))])
 
 
 def quantiles_from(pos: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float]) -> DataFrame:
@@ -127,12 +125,18 @@ def unpivot(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str
 
 # --- ranks ----------------------------------------------------------------------------------
 
+def percent_ranks(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
+    """Rank over group size with ties averaged, for several columns; null stays null."""
+    out = df
+    for value, name in columns.items():
+        pos = positions(df, keys, value).select(
+            *keys, value, ((F.col("n_below") + (F.col("n_equal") + 1) / 2.0) / F.col("n_total")).alias(name))
+        out = null_safe_join(out, pos, [*keys, value], "left")
+    return out
+
+
 def percent_rank_average(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Rank over group size with ties averaged; null stays null."""
-    pos = positions(df, keys, value).select(
-        *keys, value, ((F.col("n_below") + (F.col("n_equal") + 1) / 2.0) / F.col("n_total")).alias(out)
-    )
-    return null_safe_join(df, pos, [*keys, value], "left")
+    return percent_ranks(df, keys, {value: out})
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, descending: bool = True) -> DataFrame:
@@ -143,52 +147,49 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, desce
     return null_safe_join(df, pos, [*keys, value], "left")
 
 
-def row_numbers(df: DataFrame, score: str, tie: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
-    """1, 2, 3 … per group by score descending (null last), ties by ascending unique id."""
-    filled = df.withColumn("_score", F.coalesce(F.col(score), F.lit(float("-inf"))))
-    by_score = positions(filled, keys, "_score").select(
-        *keys, "_score", (F.col("n_total") - F.col("n_below") - F.col("n_equal")).alias("_above")
-    )
-    by_tie = positions(filled, [*keys, "_score"], tie).select(*keys, "_score", tie, F.col("n_below").alias("_first"))
-    ranked = null_safe_join(filled, by_score, [*keys, "_score"], "inner")
-    ranked = null_safe_join(ranked, by_tie, [*keys, "_score", tie], "inner")
-    return ranked.withColumn(out, (F.col("_above") + F.col("_first") + 1).cast("long")).drop("_score", "_above", "_first")
+def row_numbers(df: DataFrame, score: str, tie: str, out: str, keys: Sequence[str] = (), size: str | None = None) -> DataFrame:
+    """1, 2, 3 … per group by score descending (null last), ties by ascending unique id.
+
+    The order key (score, id) is unique, so buckets of it stay balanced however many scores tie.
+    ``size`` also keeps the group's row count.
+    """
+    keys = list(keys)
+    order = F.struct((-F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))).alias("s"), F.col(tie).alias("t"))
+    cut = in_buckets(df.withColumn("_order", order), keys, "_order")
+    per_bucket = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = per_bucket.select(
+        *keys, "_bucket", (F.sum("_n").over(W.partitionBy(*keys).orderBy("_bucket")) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(W.partitionBy(*keys)).alias("_size"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy("_order"))
+    ranked = null_safe_join(cut.withColumn("_inside", inside), offsets, [*keys, "_bucket"], "inner")
+    ranked = ranked.withColumn(out, (F.col("_before") + F.col("_inside")).cast("long"))
+    if size:
+        ranked = ranked.withColumn(size, F.col("_size"))
+    return ranked.drop("_order", "_bucket", "_before", "_size", "_inside")
 
 
-def _budget(fraction) -> Column:
-    # The tiny slack keeps 100 * 0.07 at 7 instead of 8; both engines then agree on the count.
-    return F.greatest(F.lit(1), F.ceil(F.col("n_total") * F.lit(float(fraction)) - 1e-9)).cast("long")
+def budget(total: Column, fraction: float) -> Column:
+    """ceil(n * fraction), at least one.  The tiny slack keeps 100 * 0.07 at 7 instead of 8."""
+    return F.greatest(F.lit(1), F.ceil(total * F.lit(float(fraction)) - 1e-9)).cast("long")
 
 
 def budget_threshold(df: DataFrame, score: str, fraction: float, keys: Sequence[str] = ()) -> DataFrame:
-    """Per group: the k-th highest score, k = ceil(n * fraction) and how many lie above it."""
+    """Per group: the k-th highest score, k = ceil(n * fraction)."""
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be in (0, 1]")
-    filled = df.withColumn("_score", F.coalesce(F.col(score), F.lit(float("-inf"))))
-    pos = positions(filled, keys, "_score").withColumn("_k", _budget(fraction))
+    filled = df.select(*keys, F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("_score"))
+    pos = positions(filled, keys, "_score").withColumn("_k", budget(F.col("n_total"), fraction))
     above = F.col("n_total") - F.col("n_below") - F.col("n_equal")
     kth = pos.filter((above < F.col("_k")) & (F.col("_k") <= above + F.col("n_equal")))
-    return kth.select(
-        *keys, F.col("_score").alias("threshold"), F.col("_k").alias("review_count"),
-        (F.col("_k") - above).alias("ties_taken"), "n_total",
-    )
+    return kth.select(*keys, F.col("_score").alias("threshold"), F.col("_k").alias("review_count"))
 
 
 def top_fraction(df: DataFrame, score: str, tie: str, fraction: float, out: str, keys: Sequence[str] = ()) -> DataFrame:
     """Flag exactly ceil(n * fraction) rows per group, at least one; ties by ascending unique id."""
-    keys = list(keys)
-    cut = budget_threshold(df, score, fraction, keys).drop("n_total", "review_count")
-    filled = df.withColumn("_score", F.coalesce(F.col(score), F.lit(float("-inf"))))
-    marked = null_safe_join(filled, cut, keys, "left") if keys else with_scalars(filled, cut)
-    tied = marked.filter(F.col("_score") == F.col("threshold"))
-    last = (
-        positions(tied.select(*keys, tie, "ties_taken"), [*keys, "ties_taken"], tie)
-        .filter(F.col("n_below") == F.col("ties_taken") - 1)
-        .select(*keys, F.col(tie).alias("_last"))
-    )
-    marked = null_safe_join(marked, last, keys, "left") if keys else with_scalars(marked, last)
-    flag = (F.col("_score") > F.col("threshold")) | ((F.col("_score") == F.col("threshold")) & (F.col(tie) <= F.col("_last")))
-    return marked.withColumn(out, F.coalesce(flag, F.lit(False))).drop("_score", "threshold", "ties_taken", "_last")
+    if not 0 < fraction <= 1:
+        raise ValueError("fraction must be in (0, 1]")
+    ranked = row_numbers(df, score, tie, "_rank", keys, size="_total")
+    return ranked.withColumn(out, F.col("_rank") <= budget(F.col("_total"), fraction)).drop("_rank", "_total")
 
 
 def best_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

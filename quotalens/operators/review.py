@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quotalens.functions import first_match, whole_count
 from quotalens.functions.text import manager_label, plain_label, reason_code, recommended_action, short_number
 from quotalens.operators import history as H
 from quotalens.operators.aggregates import rate
-from quotalens.operators.quality import require_no_labels, union_all, without_labels
+from quotalens.operators.quality import require_no_labels, without_labels
 from quotalens.operators.ranking import best_row, null_safe_join, percent_rank_average, row_numbers, top_n_per_group, unpivot, with_scalars
 
 
@@ -313,5 +313,3 @@ def density_explanations(distances: DataFrame, matrix: DataFrame, row_id: str, f
     parts = top.groupBy(row_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("driver_rank", text.alias("t")))), lambda x: x["t"]).alias("_t"))
     return ranked.select(row_id, density.alias("_d")).join(parts, [row_id], "left").select(row_id, F.concat_ws(" | ", F.col("_d"), F.col("_t")).alias("explanation"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["union_all", "Column"]

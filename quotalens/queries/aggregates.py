@@ -89,11 +89,12 @@ SELECT rep_id, period, sum(gross_sales) AS gross_sales, sum(net_sales) AS net_sa
   avg(net_sales) AS average_order_value, max(abs(net_sales)) AS maximum_order_value, CAST(sum(end_flag::INT) AS BIGINT) AS end_period_order_count,
   sum(CASE WHEN end_flag THEN net_sales ELSE 0 END) AS end_period_sales,
   CASE WHEN abs(sum(net_sales)) > 1e-12 THEN sum(CASE WHEN end_flag THEN net_sales ELSE 0 END) / abs(sum(net_sales)) ELSE 0 END AS end_of_period_sales_share,
-  sum(net_sales) / sum(quantity) AS average_selling_price, count(*) / 21.0 AS order_frequency, sum(end_flag::INT) / count(*) AS unusual_order_timing_score
-FROM o GROUP BY ALL""", floats="gross_sales net_sales total_quantity average_order_value maximum_order_value end_period_sales end_of_period_sales_share average_selling_price order_frequency unusual_order_timing_score", digits=3)
+  count(*) / 21.0 AS order_frequency, sum(end_flag::INT) / count(*) AS unusual_order_timing_score
+FROM o GROUP BY ALL""", floats="gross_sales net_sales total_quantity average_order_value maximum_order_value end_period_sales end_of_period_sales_share order_frequency unusual_order_timing_score")
 def order_facts(spark, sf):
     from quotalens.operators.orders import order_arithmetic
-    return X.order_facts(order_arithmetic(ledger(spark, sf)), ["rep_id", "period"])
+    out = X.order_facts(order_arithmetic(ledger(spark, sf)), ["rep_id", "period"])
+    return out.drop("average_selling_price")
 
 
 @query("return_facts", LEDGER + """

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quotalens.operators import metrics as M, ranking as R
 from quotalens.queries.base import LEDGER, REP_MONTH, SCORES, ledger, rep_month, scores
 from quotalens.queries.registry import query
+from quotalens.session import checkpointed
 
 _FLAGGED = SCORES + """
 , f AS (SELECT *, row_number() OVER (ORDER BY score DESC, observation_id) <= greatest(1, ceil(count(*) OVER () * 0.05)) AS flag FROM scores)"""
@@ -112,7 +113,8 @@ def long_scores(spark, sf):
     b = rep_month(spark, sf).withColumn("observation_id", F.col("rep_id") * 1000000 + F.year("period") * 100 + F.month("period"))
     u = R.unpivot(b.select("observation_id", F.col("total_quantity").alias("quantity"), (-F.col("total_sales")).alias("returns"), F.col("transaction_count").alias("volume")),
                   ["observation_id"], MODELS, "model_name", "raw")
-    return R.top_fraction(R.percent_rank_average(u, ["model_name"], "raw", "pct"), "raw", "observation_id", 0.05, "flag", ["model_name"])
+    ranked = R.top_fraction(R.percent_rank_average(u, ["model_name"], "raw", "pct"), "raw", "observation_id", 0.05, "flag", ["model_name"])
+    return checkpointed(ranked)  # every consumer reads the finished score table
 
 
 @query("ensemble_combinations", _LONG + """
