@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quotalens.functions import exact_id, first_match, lenient_bool, month_start, number, stable_integer, value_or_seeded, visits_per_month
 from quotalens.operators import aggregates as A, shares as S
 from quotalens.operators.joins import assemble, month_grid, unique_or_fail, with_fallback
+from quotalens.session import checkpointed
 from quotalens.operators.ranking import null_safe_join, quantiles, unpivot, with_scalars, with_totals
 
 REP = ["rep_id", "period"]
@@ -250,8 +251,9 @@ def fte_and_risk(df: DataFrame, rules: CapacityRules = CapacityRules()) -> DataF
 
 def capacity_calendar(tx: DataFrame, reps: DataFrame, customers: DataFrame, field_visits: DataFrame, rules: CapacityRules = CapacityRules()) -> tuple[DataFrame, DataFrame]:
     """(calendar, coverage): deterministic rep-period capacity and its customer drill-down."""
-    visits = prepare_visits(field_visits, rules)
-    covered = coverage(customer_owners(tx, visits, customers, reps, rules), visits, rules)
+    # Both are tables of their own that several later steps read; materialise them once.
+    visits = checkpointed(prepare_visits(field_visits, rules))
+    covered = checkpointed(coverage(customer_owners(tx, visits, customers, reps, rules), visits, rules))
     cal = normalized_workload(tx, reps, rules).join(reps.withColumnRenamed("territory_id", "_home"), ["rep_id"], "left")
     cal = cal.join(period_territory(tx), REP, "left") if "territory_id" in tx.columns else cal.withColumn("territory_id", F.lit(None).cast("string"))
     home = F.concat(F.col("_home").cast("string"), F.lit(":1.00000000"))
@@ -346,6 +348,7 @@ def allocate_by_service(calendar: DataFrame, tx: DataFrame, field_visits: DataFr
     out = reconcile_onto_dominant(out, source, exact, ["planned_visit_hours", "planned_travel_hours", "required_customer_coverage_hours"])
     out = out.withColumns({c: F.greatest(F.col(c), F.lit(0.0)) for c in exact})
     out = out.withColumn("core_required_hours", F.col("planned_visit_hours") + F.col("planned_travel_hours") + F.col("required_customer_coverage_hours"))
+    out = checkpointed(out)
     out = with_totals(out, REP, _tx=F.sum("transaction_count"), _work=F.sum("core_required_hours"))
     by_work = F.when(F.col("_work") > 0, share("core_required_hours", "_work")).otherwise(F.col("dominant_territory_flag").cast("double"))
     out = out.withColumn("territory_allocation_share", F.when(F.col("_tx") > 0, share("transaction_count", "_tx")).otherwise(by_work))

@@ -172,7 +172,7 @@ def business_rule_details(spark, sf):
 , ref AS (SELECT x, (sum(count(*)) OVER (ORDER BY x) - count(*) * 0.5) / (sum(count(*)) OVER () + 1) AS y FROM t GROUP BY x), rims AS (SELECT min(y) AS ylo, max(y) AS yhi FROM ref)
 , p AS (SELECT l.*, r.x AS x0, r.y AS y0 FROM l ASOF LEFT JOIN ref r ON l.raw_score >= r.x), h2 AS (SELECT p.*, r.x AS x1, r.y AS y1 FROM p ASOF LEFT JOIN ref r ON p.raw_score <= r.x)
 SELECT observation_id, period, split, 'Business Rules' AS model_name, raw_score, CASE WHEN raw_score > hi THEN 1 - (1 - yhi) / (1 + (raw_score - hi) / tail) WHEN raw_score < lo THEN ylo / (1 + (lo - raw_score) / tail)
-  WHEN x0 = x1 THEN y0 ELSE y0 + (y1 - y0) * (raw_score - x0) / (x1 - x0) END AS anomaly_score, raw_score > threshold AS threshold_flag FROM h2 CROSS JOIN e CROSS JOIN rims""", floats="raw_score anomaly_score", digits=5)
+  WHEN x0 = x1 THEN y0 ELSE y0 + (y1 - y0) * (raw_score - x0) / (x1 - x0) END AS anomaly_score, raw_score > threshold AS threshold_flag FROM h2 CROSS JOIN e CROSS JOIN rims""", floats="raw_score anomaly_score", digits=7)
 def score_contract(spark, sf):
     from quotalens.functions import split_label
     frame = checkpointed(rule_frame(spark, sf).withColumn("split", split_label("period", "1999-12-01", "2000-12-01")))

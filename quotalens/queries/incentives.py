@@ -25,10 +25,10 @@ _CALC = ORDERS_SQL + _RULES + """
 , f AS (SELECT *, least(greatest(base + accel + mix + newb - pen - claw, 0), cap) AS paid FROM c)"""
 
 
-def calculated(spark, sf):
+def calculated(spark, sf, cents=True):
     o = orders(spark, sf)
     discounts = o.select("order_line_id", "rep_id", "period", "discount_pct", (F.col("discount_pct") <= 0.07).alias("approved_flag"))
-    return I.calculate_incentives(o, discounts, returns(spark, sf), targets(spark, sf), products(spark, sf), reps(spark, sf).select("rep_id", "manager_id", "team_id", "territory_id"), rules(spark))
+    return I.calculate_incentives(o, discounts, returns(spark, sf), targets(spark, sf), products(spark, sf), reps(spark, sf).select("rep_id", "manager_id", "team_id", "territory_id"), rules(spark), cents)
 
 
 @query("policy_rule_table", ORDERS_SQL + _RULES + """
@@ -43,11 +43,11 @@ def policy_rule_table(spark, sf):
 
 
 @query("incentive_calculation", _CALC + """
-SELECT rep_id, period, policy_version, att AS attainment, base / 7 AS base, accel / 7 AS accelerator, mix / 7 AS mix_bonus, newb AS new_customer_bonus, pen / 7 AS discount_penalty, claw / 7 AS return_clawback,
-  CAST(last_day(period) + delay AS DATE) AS payout_date FROM f""", floats="attainment base accelerator mix_bonus new_customer_bonus discount_penalty return_clawback", digits=2)
+SELECT rep_id, period, policy_version, att AS attainment, base / 7 AS base, accel / 7 AS accelerator, mix / 7 AS mix_bonus, CAST(newb AS DOUBLE) AS new_customer_bonus, pen / 7 AS discount_penalty, claw / 7 AS return_clawback,
+  CAST(last_day(period) + delay AS DATE) AS payout_date FROM f""", floats="attainment base accelerator mix_bonus new_customer_bonus discount_penalty return_clawback", digits=4)
 def incentive_calculation(spark, sf):
-    """Components are compared at a scale where rounding to cents on one side cannot show."""
-    c = calculated(spark, sf)
+    """Components before rounding to cents."""
+    c = calculated(spark, sf, cents=False)
     s = lambda name: F.col(name) / 7
     return c.select("rep_id", "period", "policy_version", (F.col("attainment_pct") / 100).alias("attainment"), s("base_incentive").alias("base"), s("accelerator_amount").alias("accelerator"),
                     s("product_mix_bonus").alias("mix_bonus"), F.col("new_customer_bonus_amount").alias("new_customer_bonus"), s("discount_penalty").alias("discount_penalty"),

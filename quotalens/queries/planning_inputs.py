@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quotalens.operators.incentives import policy_rules
 from quotalens.operators.orders import order_arithmetic
 from quotalens.queries.base import LEDGER, ledger, read
+from quotalens.session import checkpointed
 
 D = dt.date
 VERSIONS = [
@@ -50,19 +51,20 @@ def reps(spark, sf):
     return s.select(F.col("s_suppkey").alias("rep_id"), F.col("r_name").alias("team_id"), F.col("n_name").alias("manager_id"), F.col("n_name").alias("territory_id"))
 
 
-def visits(spark, sf):
-    return ledger(spark, sf).select(
+def visits(spark, sf, tx=None):
+    return (ledger(spark, sf) if tx is None else tx).select(
         "rep_id", "customer_id", F.col("ship_date").alias("visit_date"), F.trunc("ship_date", "MM").alias("period"), F.col("city").alias("territory_id"),
         F.col("quantity").alias("visit_duration_minutes"), (F.col("discount_pct") * 100).alias("estimated_travel_km"), (~F.col("return_flag")).cast("string").alias("visit_completed_flag"))
 
 
-def customers(spark, sf):
+def customers(spark, sf, tx=None):
     c = read(spark, sf, "customer").join(read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    active = ledger(spark, sf).groupBy("customer_id").agg(F.min("rep_id").alias("primary_rep_id"))
+    active = (ledger(spark, sf) if tx is None else tx).groupBy("customer_id").agg(F.min("rep_id").alias("primary_rep_id"))
     priority = F.when(F.col("c_acctbal") > 6000, "high").when(F.col("c_acctbal") > 2000, "medium").otherwise("low")
     return c.select(F.col("c_custkey").alias("customer_id"), F.col("n_name").alias("territory_id"), "c_mktsegment", priority.alias("customer_priority"),
                     F.when(F.col("c_mktsegment") == "BUILDING", "monthly").otherwise(F.lit(None).cast("string")).alias("required_visit_frequency")).join(active, ["customer_id"])
 
 
 def transactions(spark, sf):
-    return ledger(spark, sf).withColumn("territory_id", F.col("city"))
+    """The normalised transactions as one materialised table, read by every later step."""
+    return checkpointed(ledger(spark, sf).withColumn("territory_id", F.col("city")))
