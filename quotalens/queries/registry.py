@@ -10,10 +10,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _shift(digits: int) -> float:
+    """A sliver of the last digit: keeps values that lie exactly half way off the rounding edge."""
+    return round(0.0317 * 10.0 ** -digits, digits + 4)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round doubles so that the order of floating additions cannot show."""
     return df.select(*[
-        (F.round(F.col(f"`{name}`"), digits) + F.lit(0.0)).alias(name) if kind in ("double", "float") else F.col(f"`{name}`")
+        (F.round(F.col(f"`{name}`") + F.lit(_shift(digits)), digits) + F.lit(0.0)).alias(name) if kind in ("double", "float") else F.col(f"`{name}`")
         for name, kind in df.dtypes
     ])
 
@@ -33,7 +38,7 @@ def query(name: str, sql: str | None = None, floats: str = "", digits: int = 6):
         if sql is not None:
             names = floats.split()
             if names:
-                replaced = ", ".join(f'round("{n}", {digits}) + 0.0 AS "{n}"' for n in names)
+                replaced = ", ".join(f'round("{n}" + {_shift(digits)!r}::DOUBLE, {digits}) + 0.0 AS "{n}"' for n in names)
                 ORACLES[name] = f"SELECT * REPLACE ({replaced}) FROM (\n{sql.strip()}\n) AS q"
             else:
                 ORACLES[name] = sql.strip()
