@@ -116,8 +116,10 @@ def _pairs(left: Blocks, right: Blocks, reach: Column, bounds: DataFrame | None
 
 def _visit(left: DataFrame, right: DataFrame, pairs: DataFrame, work, schema: str) -> DataFrame:
     """Run ``work`` on every pair of blocks; both sides of a task are bounded by the block size."""
-    a = left.join(pairs, ["block"]).groupBy("block", "other")
-    b = right.withColumnRenamed("block", "other").join(pairs, ["other"]).groupBy("block", "other")
+    a = left.join(pairs, ["block"])
+    b = right.withColumnRenamed("block", "other").join(pairs, ["other"])
+    # Fresh column ids on both sides: the two often come from the same table.
+    a, b = (side.select(*[F.col(c).alias(c) for c in side.columns]).groupBy("block", "other") for side in (a, b))
     return a.cogroup(b).applyInPandas(work, schema)
 
 
@@ -274,7 +276,7 @@ def clustering_quality(df: DataFrame, row_id: str, label: str, vector: str = "ve
         raise ValueError(f"more than {max_clusters} clusters")
     names, sizes = [r["c"] for r in rows], np.array([r["n"] for r in rows], float)
     out = {"number_of_clusters": len(rows), "noise_percentage": 100.0 * (facts["noise"] or 0) / max(facts["n"], 1),
-           "smallest_cluster_pct": 100.0 * sizes.min() / facts["n"] if len(rows) else 0.0, "largest_cluster_pct": 100.0 * sizes.max() / facts["n"] if len(rows) else 0.0,
+           "smallest_cluster_pct": float(100.0 * sizes.min() / facts["n"]) if len(rows) else 0.0, "largest_cluster_pct": float(100.0 * sizes.max() / facts["n"]) if len(rows) else 0.0,
            "cluster_balance": float(sizes.min() / sizes.max()) if len(rows) else 0.0, "silhouette_score": None, "davies_bouldin_score": None, "calinski_harabasz_score": None}
     if len(rows) >= 2 and sizes.sum() > len(rows):
         centers = np.array([r["m"] for r in rows])
