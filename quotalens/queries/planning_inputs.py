@@ -68,3 +68,27 @@ def customers(spark, sf, tx=None):
 def transactions(spark, sf):
     """The normalised transactions as one materialised table, read by every later step."""
     return checkpointed(ledger(spark, sf).withColumn("territory_id", F.col("city")))
+
+
+def calculated_tables(spark, sf):
+    """The relational layer of the rep × month review, derived from the ledger."""
+    from quotalens.operators.capacity import CapacityRules, capacity_calendar
+    from quotalens.operators.incentives import calculate_incentives, prior_informed_targets
+    tx = transactions(spark, sf)
+    o = checkpointed(orders(spark, sf))
+    rep = reps(spark, sf)
+    hired = rep.join(o.groupBy("rep_id").agg(F.min("period").alias("hire_date")), ["rep_id"], "left")
+    tgt = checkpointed(prior_informed_targets(o, products(spark, sf), hired, 90000, 200)).select("rep_id", "period", "target_sales", "target_units", "quota_difficulty_index")
+    disc = o.select("order_line_id", "rep_id", "period", "discount_pct", (F.col("discount_pct") <= 0.07).alias("approved_flag"))
+    ret = checkpointed(returns(spark, sf))
+    vis = visits(spark, sf, tx).withColumn("visit_completed_flag", F.col("visit_completed_flag") == "true")
+    crm = tx.select("rep_id", F.trunc("ship_date", "MM").alias("period"), F.col("price").alias("sentiment_or_interest_score"))
+    exp = tx.select("rep_id", "period", F.col("customer_id").alias("visit_id"), F.col("city").alias("expense_category"), F.col("price").alias("claimed_distance_km"), F.col("quantity").alias("estimated_distance_km"),
+                    F.col("quantity").alias("claimed_amount"), (F.col("quantity") * 2).alias("expected_amount"), (~F.col("return_flag")).alias("receipt_available_flag"))
+    paid = checkpointed(calculate_incentives(o, disc, ret, tgt, products(spark, sf), rep.select("rep_id", "manager_id", "team_id", "territory_id"), rules(spark)))
+    cal = checkpointed(capacity_calendar(tx, rep, customers(spark, sf, tx), visits(spark, sf, tx), CapacityRules())[0])
+    keep = ["rep_id", "period", "available_field_hours", "required_total_hours", "utilization_pct", "required_fte", "available_fte", "fte_gap", "priority_customer_coverage_gap", "planned_travel_hours"]
+    territory = rep.select("territory_id").distinct().withColumn("travel_complexity_index", F.length("territory_id") / 3.0)
+    return {"orders": o, "product_master": products(spark, sf), "customer_master": tx.select("customer_id", "channel").distinct(), "discount_detail": disc, "returns_cancellations": ret, "field_visits": vis,
+            "crm_interactions": crm, "travel_expenses": exp, "incentive_calculations": paid, "rep_targets_quotas": tgt, "capacity_calendar": cal.select(*keep),
+            "rep_master": hired.select("rep_id", "team_id", "manager_id", "territory_id", "hire_date"), "territory_master": territory}
