@@ -267,7 +267,7 @@ def review_features(tables: Mapping[str, DataFrame]) -> tuple[DataFrame, list[st
         F.sum(F.when(F.col("_priority") == "high", F.col("net_sales")).otherwise(0.0)).alias("_high"),
         F.sum(F.when(F.col("_potential") <= 35, F.col("net_sales")).otherwise(0.0)).alias("_low")))
     facts.append(S.first_purchases(orders, "rep_id", "customer_id", "period", "net_sales", "new_customer_count"))
-    channels = orders.join(tables["customer_master"].select("customer_id", "channel"), ["customer_id"], "left")
+    channels = orders.drop("channel").join(tables["customer_master"].select("customer_id", "channel"), ["customer_id"], "left")
     facts.append(S.concentration(channels, key, "channel", "net_sales", "channel").select(*key, "channel_hhi"))
     detail = tables["discount_detail"]
     if "period" not in detail.columns:
