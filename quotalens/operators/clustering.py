@@ -379,7 +379,7 @@ def tune_dbscan(df: DataFrame, row_id: str, min_samples: Sequence[int], probabil
             labels = checkpointed(dbscan(df, row_id, eps, m, vector))
             took = time.perf_counter() - start
             quality = clustering_quality(df.select(row_id, vector).join(labels, [row_id]), row_id, "label", vector).first()
-            again = dbscan(shaken, row_id, eps, m, vector).select(row_id, F.coalesce("label", F.lit(-1)).alias("again"))
+            again = checkpointed(dbscan(shaken, row_id, eps, m, vector).select(row_id, F.coalesce("label", F.lit(-1)).alias("again")))
             stable = adjusted_rand(labels.select(row_id, F.coalesce("label", F.lit(-1)).alias("label")).join(again, [row_id]), "label", "again").first()[0]
             ok = quality["number_of_clusters"] >= 2 and quality["noise_percentage"] <= max_noise and quality["smallest_cluster_pct"] >= min_cluster
             plain = 1.0 / (1.0 + 0.08 * max(quality["number_of_clusters"] - 2, 0) + quality["noise_percentage"] / 100.0)
