@@ -11,6 +11,7 @@ from quotalens.functions import (
 )
 from quotalens.operators import aggregates as A, history as H, shares as S
 from quotalens.operators.joins import assemble
+from quotalens.session import checkpointed
 from quotalens.operators.peers import peer_means, peer_statistics, potential_residual, wide_by_metric
 from quotalens.operators.ranking import null_safe_join, percent_rank_average, percent_ranks, quantiles, with_totals
 
@@ -337,6 +338,7 @@ def review_features(tables: Mapping[str, DataFrame]) -> tuple[DataFrame, list[st
     }
     base = base.withColumns(second).drop("_incentive_std", "_incentive_mean", "_previous_sales", "_previous_quantity", "_previous_incentive", "_high", "_low")
 
+    base = checkpointed(base)  # peers, residuals and cohort medians all start from this table
     peers = peer_statistics(base, "observation_id", list(REVIEW_PEER_METRICS), REVIEW_LEVELS, REVIEW_MINIMUM, "period")
     wide = wide_by_metric(peers, "observation_id", list(REVIEW_PEER_METRICS), {"robust_z": "peer_z", "peer_percentile": "peer_percentile", "peer_median": "peer_median"})
     wide = wide.select("observation_id", *[
