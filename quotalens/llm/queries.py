@@ -36,3 +36,19 @@ def op3(spark, sf_dir):
     from quotalens.llm.substring_dedup import substring_dedup
 
     return substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op6_wavelet_matrix")
+def op6(spark, sf_dir):
+    """Token ids written as wavelet matrices and read back, per document."""
+    from quotalens.llm.wavelet import read_documents, write_shards
+
+    return read_documents(write_shards(documents(spark, sf_dir)))
+
+
+@query("op10_best_fit_packing")
+def op10(spark, sf_dir):
+    """All documents packed into sequences of 2048 tokens."""
+    from quotalens.llm.packing import best_fit_packing
+
+    return best_fit_packing(documents(spark, sf_dir))
