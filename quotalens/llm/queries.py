@@ -52,3 +52,35 @@ def op10(spark, sf_dir):
     from quotalens.llm.packing import best_fit_packing
 
     return best_fit_packing(documents(spark, sf_dir))
+
+
+@query("op4_quality_rules")
+def op4(spark, sf_dir):
+    """Counts, base rules and host verdicts for each document."""
+    from quotalens.llm.host_rules import judge
+
+    return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op5_line_dedup")
+def op5(spark, sf_dir):
+    """Documents without repeated chunks of lines, as digests."""
+    from quotalens.llm.line_chunks import line_dedup
+
+    return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_removed_chunks", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op8_media_sniffing")
+def op8(spark, sf_dir):
+    """Texts stored as audio, sniffed and read back, as digests."""
+    from quotalens.llm.sniffing import media_column, read_media
+
+    return read_media(media_column(documents(spark, sf_dir))).drop("declared", "embedded")
+
+
+@query("op9_rule_ensemble")
+def op9(spark, sf_dir):
+    """Quality scores from a sparse rule ensemble."""
+    from quotalens.llm.rule_ensemble import score_quality
+
+    return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
