@@ -84,3 +84,11 @@ def op9(spark, sf_dir):
     from quotalens.llm.rule_ensemble import score_quality
 
     return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op1_ngram_jaccard_join")
+def op1(spark, sf_dir):
+    """Components of documents with similar sets of five-word shingles."""
+    from quotalens.llm.ngram_join import ngram_components
+
+    return ngram_components(documents(spark, sf_dir))
