@@ -64,13 +64,13 @@ def judge(docs: DataFrame, host: str = "source", bad_rate: float = BAD_RATE) ->
     """Counts and verdict for each document.
 
     ``docs`` needs doc_id, text and the host column; other columns are ignored.  Returns per row doc_id,
-    host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_bad (under some
+    text_key (xxhash64 of the text), host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_bad (under some
     stricter rule that the document fails itself) and kept.  A null text has no words and so fails the
     base rules, as does an empty one.  A null host is a host of its own.  Repeated rows are judged one by
     one.  A null doc_id stays null.  An empty table gives an empty table.
     """
-    stats = saved(text_stats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), "text"), ["doc_id", "host"])
-                  .withColumnsRenamed({"key_0": "doc_id", "key_1": "host"}), "stats")
+    stats = saved(text_stats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text"), ["doc_id", "host", "text_key"])
+                  .withColumnsRenamed({"key_0": "doc_id", "key_1": "host", "key_2": "text_key"}), "stats")
     failed = rules()
     verdicts = host_verdicts(stats, "host", bad_rate).select(F.col("host").alias("of_host"), *[f"bad_{name}" for name in failed])
     joined = stats.join(verdicts, F.col("host").eqNullSafe(F.col("of_host")), "left")
@@ -80,5 +80,5 @@ def judge(docs: DataFrame, host: str = "source", bad_rate: float = BAD_RATE) ->
             strict = strict | (column & (F.col(f"bad_{name}") | F.col("bad_base")))
     return (
         joined.withColumn("base_failed", failed["base"]).withColumn("host_bad", F.coalesce(strict, F.lit(False)))
-        .select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_bad", (~F.col("base_failed") & ~F.col("host_bad")).alias("kept"))
+        .select("doc_id", "text_key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_bad", (~F.col("base_failed") & ~F.col("host_bad")).alias("kept"))
     )

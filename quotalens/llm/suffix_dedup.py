@@ -78,12 +78,12 @@ def _steps(length: int) -> tuple[int, int, int]:
     return length // 5, 2 * length // 5, 4 * length // 5
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, carry: list[str] | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """Cut every byte covered by a string of ``length`` bytes that also starts elsewhere in the corpus.
 
     ``docs`` needs doc_id and text; other columns are ignored unless named in ``carry``, which returns
     them in the struct ``rest``.  Returns per row doc_id, kept (binary: the remaining bytes of the UTF-8
-    text, which may split a character), n_bytes, n_removed and n_spans (maximal removed runs).  Null and
+    text, which may split a character; with ``as_text`` a string without such split characters), n_bytes, n_removed and n_spans (maximal removed runs).  Null and
     empty texts give empty bytes; texts shorter than ``length`` are never cut.  Repeated rows are copies
     of each other.  A null doc_id stays null.  An empty table gives an empty table.
     """
@@ -145,7 +145,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, carry: list[str] | None
         np.add.at(full, text.spots[whole] + 1, -1)
         return chunks.asked(chunk, names, counts, ranges, np.packbits(shown).tobytes() + np.packbits(np.cumsum(full)[:-1] > 0).tobytes())
 
-    fields = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
+    fields = f"doc_id long, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long"
     if carry:
         fields += ", rest " + dict(dealt.dtypes)["rest"]
 
@@ -174,7 +174,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, carry: list[str] | None
         raw = keep.tobytes()
         out = {
             "doc_id": rows["doc_id"],
-            "kept": pa.array([raw[a:b] for a, b in zip(kept_at, kept_at[1:])], pa.binary()),
+            "kept": pa.array([raw[a:b].decode(errors="ignore") if as_text else raw[a:b] for a, b in zip(kept_at, kept_at[1:])], pa.string() if as_text else pa.binary()),
             "n_bytes": pa.array(np.diff(at)),
             "n_removed": pa.array(np.diff(lost[at])),
             "n_spans": pa.array(np.diff(spans[at])),
