@@ -25,6 +25,8 @@ from quotalens.llm.store import saved
 
 WORDS, PERCENT = 5, 80
 BITMAP = 16  # longs
+#: Making and shuffling one subset costs as much as scanning so many entries of a list.
+SUBSET_COST = 16
 SETS = "doc_id long, n long, node long, z long, scan double, elements array<long>, bits array<long>"
 
 
@@ -118,7 +120,7 @@ def prepared_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Da
 
 def size_boundary(sets: DataFrame, percent: int) -> int:
     """The largest size of a small set.  Costs are summed by size class, about 200 of them at most."""
-    pairs = (F.col("m") + 1) * F.col("m") / 2
+    pairs = SUBSET_COST * (F.col("m") + 1) * F.col("m") / 2
     costs = (
         sets.withColumn("m", F.col("n") - _needed(F.col("n"), percent) + 1 - F.col("z"))
         .groupBy(F.floor(F.log2("n") * 12).alias("size_class")).agg(F.sum(pairs).alias("subsets"), F.sum("scan").alias("scans"), F.max("n").alias("largest")).orderBy("size_class").collect()
@@ -181,8 +183,11 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     x, y = mixed.where("component <> main").alias("x"), mixed.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", percent, bitmaps=True))
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = saved(verified(rest, sets, percent), "links")
-    return components(links.union(more))
+    # links between components, not between their sets: a component of thousands is one node from here on
+    of = own.select("node", "component").distinct()
+    more = verified(rest, sets, percent).join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    wider = components(more).toDF("component", "wider")
+    return own.select("node", "component").distinct().join(wider, "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
 
 
 def ngram_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
