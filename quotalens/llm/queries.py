@@ -92,3 +92,11 @@ def op1(spark, sf_dir):
     from quotalens.llm.ngram_join import ngram_components
 
     return ngram_components(documents(spark, sf_dir))
+
+
+@query("op7_sentencepiece_sampling")
+def op7(spark, sf_dir):
+    """Sampled segmentations and the texts decoded from them, as digests."""
+    from quotalens.llm.lattice import decoded, sampled_pieces
+
+    return decoded(sampled_pieces(documents(spark, sf_dir))).select("doc_id", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
