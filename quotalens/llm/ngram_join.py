@@ -9,7 +9,7 @@ smaller sets and the lists scanned by all larger ones cost least together.
 Sets under one key are never paired with each other as they come.  Each is first compared with one set
 of its key.  Links found so far are merged to components, and then only sets of a key that are not of
 the key's main component are held against the others of it, under bounds on the intersection that
-follow from sizes, unshared elements and bitmaps.  What passes is verified on the whole sets.
+follow from sizes, positions in the order and bitmaps.  What passes is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -135,21 +135,27 @@ def size_boundary(sets: DataFrame, percent: int) -> int:
 
 
 def join_keys(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """(key, node, n, z): subsets of two elements for small sets, single elements for large sets and for the
-    small ones that are large enough to be similar to them."""
+    """(key, node, n, pos): subsets of two elements for small sets, single elements for large sets and for the
+    small ones that are large enough to be similar to them.
+
+    If a key is the first that two sets share, their intersection has at most the lesser n - pos.
+    """
     p = F.col("n") - _needed(F.col("n"), percent) + 1
-    base = sets.withColumn("one", F.slice("elements", (F.col("z") + 1).cast("int"), (p - F.col("z")).cast("int"))).withColumn("two", F.slice("elements", (F.col("z") + 1).cast("int"), (p + 1 - F.col("z")).cast("int")))
-    subsets = F.flatten(F.transform("two", lambda a, i: F.transform(F.filter("two", lambda b, j: j > i), lambda b: F.xxhash64(a, b))))
-    small = base.where(F.col("n") <= boundary).select(F.explode(subsets).alias("key"), "node", "n", "z")
-    large = base.where(100 * F.col("n") >= percent * (boundary + 1)).select(F.explode(F.transform("one", lambda a: F.xxhash64(F.lit("one"), a))).alias("key"), "node", "n", "z")
-    return small.union(large)
+    entry = F.transform(F.slice("elements", (F.col("z") + 1).cast("int"), (p + 1 - F.col("z")).cast("int")), lambda e, i: F.named_struct(F.lit("e"), e, F.lit("pos"), F.col("z") + i))
+    base = sets.withColumn("two", entry).withColumn("one", F.slice("two", F.lit(1), F.size("two") - F.when(F.col("n") > p, 1).otherwise(0)))
+    pair = lambda a, b: F.named_struct(F.lit("key"), F.xxhash64(a["e"], b["e"]), F.lit("pos"), b["pos"] - 1)
+    subsets = F.flatten(F.transform("two", lambda a, i: F.transform(F.filter("two", lambda b, j: j > i), lambda b: pair(a, b))))
+    single = F.transform("one", lambda a: F.named_struct(F.lit("key"), F.xxhash64(F.lit("one"), a["e"]), F.lit("pos"), a["pos"]))
+    small = base.where(F.col("n") <= boundary).select(F.explode(subsets).alias("s"), "node", "n")
+    large = base.where(100 * F.col("n") >= percent * (boundary + 1)).select(F.explode(single).alias("s"), "node", "n")
+    return small.union(large).select("s.key", "node", "n", "s.pos")
 
 
 def _may_link(a: str, b: str, percent: int, bitmaps: bool = False) -> Column:
-    """Necessary conditions on two sets, cheapest first."""
-    n1, n2, z1, z2 = (F.col(f"{t}.{c}") for c in ("n", "z") for t in (a, b))
-    total, most = n1 + n2, F.least(n1 - z1, n2 - z2)
-    out = (100 * n1 >= percent * n2) & (100 * n2 >= percent * n1) & ((100 + percent) * most >= percent * total)
+    """Necessary conditions on two sets that meet under their first common key, cheapest first."""
+    n1, n2, pos1, pos2 = (F.col(f"{t}.{c}") for c in ("n", "pos") for t in (a, b))
+    total = n1 + n2
+    out = (100 * n1 >= percent * n2) & (100 * n2 >= percent * n1) & ((100 + percent) * F.least(n1 - pos1, n2 - pos2) >= percent * total)
     if bitmaps:
         for t, u, n in ((a, b, n1), (b, a, n2)):
             missing = sum((F.bit_count(F.get(f"{t}.bits", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"{u}.bits", F.lit(i))))) for i in range(BITMAP)), F.lit(0))
@@ -168,15 +174,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) of all sets with a link.  ``sets``: rows of prepared_sets with elements."""
     keys = join_keys(sets, size_boundary(sets, percent), percent)
-    span = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min_by(F.struct("n", "z"), "node").alias("of_low")).where("low < high")
-    keys = saved(keys.join(span, "key"), "keys")  # keys of two sets or more
+    # the centre of a key is the set with most room left behind it
+    span = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.struct((F.col("pos") / F.col("n")).alias("room"), "node", "n", "pos")).alias("y")).where("low < high")
+    keys = saved(keys.join(span.select("key", "y"), "key"), "keys")  # keys of two sets or more
 
-    stars = keys.select(F.struct("node", "n", "z").alias("x"), F.struct(F.col("low").alias("node"), "of_low.n", "of_low.z").alias("y")).where("x.node <> y.node")
+    stars = keys.select(F.struct("node", "n", "pos").alias("x"), "y").where("x.node <> y.node")
     stars = stars.where(_may_link("x", "y", percent)).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
     links = saved(verified(stars, sets, percent), "links")
     merged = components(links)
 
-    own = keys.select("key", "node", "n", "z").join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = keys.select("key", "node", "n", "pos").join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
     main = own.groupBy("key", "component").agg(F.count("*").alias("times")).groupBy("key").agg(F.max_by("component", F.struct("times", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
     mixed = own.join(main.drop("kinds"), "key").join(sets.select("node", "bits"), "node")
     mixed = saved(mixed, "mixed")
