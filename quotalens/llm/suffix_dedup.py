@@ -20,6 +20,8 @@ from quotalens.llm.hashing import byte_prefix, mix, text_bytes, unique_names
 
 LENGTH = 200
 GRAM, ONE_IN = 8, 16
+#: While positions are only pruned, 48 bits of a name do: a false repeat costs work, not a wrong byte.
+PRUNING = np.uint64(0xFFFFFFFFFFFF0000)
 
 
 class _Bytes:
@@ -49,7 +51,7 @@ class _Bytes:
     def level_names(self, level: np.ndarray, needed: int, h: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions that reached a level and have room for h bytes, and their names."""
         who = np.flatnonzero((level >= needed) & (self.spots + h <= self.stop))
-        return who, self.prefix.names(self.spots[who], h)
+        return who, self.prefix.names(self.spots[who], h) & PRUNING
 
     def hulls(self, level: np.ndarray, needed: int, length: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions whose whole gap can be settled at once, and the names of the string over all its windows."""
