@@ -46,7 +46,7 @@ def _c(c) -> Column:
 
 
 def _sentence(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 10000)))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, F.lit(2), F.greatest(F.length(text), F.lit(1)))))
 
 
 def plain_label(feature) -> Column:
@@ -62,7 +62,7 @@ def manager_label(feature) -> Column:
     def base(name: Column) -> Column:
         out = F.element_at(known, name)
         for prefix, label in FIELD_LABELS.items():
-            rest = F.regexp_replace(F.substring(name, len(prefix) + 2, 10000), "_", " ")
+            rest = F.regexp_replace(F.substring(name, F.lit(len(prefix) + 2), F.greatest(F.length(name), F.lit(1))), "_", " ")
             out = F.coalesce(out, F.when(name.startswith(prefix + "_"), F.concat(F.lit(label + ": "), rest)))
         return F.coalesce(out, plain_label(name))
 

@@ -331,10 +331,15 @@ def group_detection(df: DataFrame, label: str, flag: str, top: str, list_columns
     )
 
 
-def family_recall(df: DataFrame, keys: Sequence[str], kind: str, top: str, families: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Support and recall at the budget per business family of anomaly types."""
-    pairs = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(k).alias("kind")) for f, kinds in families.items() for k in kinds])
-    match = F.transform(F.filter(pairs, lambda x: x["kind"] == F.col(kind)), lambda x: x["family"])
+def family_recall(df: DataFrame, keys: Sequence[str], kind: str, top: str, families: Mapping[str, Sequence[str]] | Column) -> DataFrame:
+    """Support and recall at the budget per business family of anomaly types.
+
+    ``families`` maps a family to its types, or is an array column of the families of a row.
+    """
+    match = families
+    if not isinstance(families, Column):
+        pairs = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(k).alias("kind")) for f, kinds in families.items() for k in kinds])
+        match = F.transform(F.filter(pairs, lambda x: x["kind"] == F.col(kind)), lambda x: x["family"])
     exploded = df.withColumn("family", F.explode(match))
     return exploded.groupBy(*keys, "family").agg(
         F.count(F.lit(1)).alias("support"), F.sum(F.when(F.col(top), 1).otherwise(0)).alias("captured"),

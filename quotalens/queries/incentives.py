@@ -43,12 +43,12 @@ def policy_rule_table(spark, sf):
 
 
 @query("incentive_calculation", _CALC + """
-SELECT rep_id, period, policy_version, att AS attainment, base / 7 AS base, accel / 7 AS accelerator, mix / 7 AS mix_bonus, CAST(newb AS DOUBLE) AS new_customer_bonus, pen / 7 AS discount_penalty, claw / 7 AS return_clawback,
+SELECT rep_id, period, policy_version, att AS attainment, CAST(base AS DOUBLE) AS base, CAST(accel AS DOUBLE) AS accelerator, CAST(mix AS DOUBLE) AS mix_bonus, CAST(newb AS DOUBLE) AS new_customer_bonus, CAST(pen AS DOUBLE) AS discount_penalty, CAST(claw AS DOUBLE) AS return_clawback,
   CAST(last_day(period) + delay AS DATE) AS payout_date FROM f""", floats="attainment base accelerator mix_bonus new_customer_bonus discount_penalty return_clawback", digits=4)
 def incentive_calculation(spark, sf):
     """Components before rounding to cents."""
     c = calculated(spark, sf, cents=False)
-    s = lambda name: F.col(name) / 7
+    s = F.col
     return c.select("rep_id", "period", "policy_version", (F.col("attainment_pct") / 100).alias("attainment"), s("base_incentive").alias("base"), s("accelerator_amount").alias("accelerator"),
                     s("product_mix_bonus").alias("mix_bonus"), F.col("new_customer_bonus_amount").alias("new_customer_bonus"), s("discount_penalty").alias("discount_penalty"),
                     s("return_clawback").alias("return_clawback"), "payout_date")

@@ -197,9 +197,8 @@ SELECT family, count(*) AS support, count(*) FILTER (flag) AS captured, avg(flag
 def family_recall(spark, sf):
     s = scores(spark, sf)
     f = R.top_fraction(s, "score", "observation_id", 0.05, "flag").filter("label")
-    langs = [r["lang"] for r in s.select("lang").distinct().limit(50).collect()]
-    families = {"germanic": [x for x in langs if x in ("en", "de")], "romance": [x for x in langs if x not in ("en", "de")], "all": langs}
-    return M.family_recall(f, [], "lang", "flag", families)
+    families = F.array(F.when(F.col("lang").isin("en", "de"), "germanic").otherwise("romance"), F.lit("all"))
+    return M.family_recall(f.where("lang IS NOT NULL"), [], "lang", "flag", families)
 
 
 @query("period_stability", REP_MONTH + """

@@ -178,8 +178,7 @@ def feature_ablation(spark, sf):
     d, p = prepared(spark, sf)
     v = checkpointed(p.transform(d).withColumn("row_id", F.concat_ws("|", "rep_id", "period")))
     forest = FO.fit_isolation_forest(v, "row_id", trees=30)
-    top = checkpointed(forest.score(v).orderBy(F.col("raw_score").desc(), "row_id").limit(20))  # the review head
-    return forest.ablation(top, "row_id", FEATURES, [0.0, 0.0, 0.0])
+    return forest.ablation(checkpointed(forest.score(v)), "row_id", FEATURES, [0.0, 0.0, 0.0])
 
 
 @query("driver_explanations")
@@ -199,8 +198,12 @@ def centroid_explanations(spark, sf):
     return V.distance_explanations(K.fit_kmeans(v, 4).contributions(v, FEATURES, "row_id"), unpivot(v, ["row_id"], FEATURES, "feature", "value"), "row_id", "cluster", 2)
 
 
+#: The width of the vectors of table embeddings.
+DIMENSIONS = 64
+
+
 @query("density_explanations")
 def density_explanations(spark, sf):
     v = checkpointed(vectors(spark, sf))
-    wide = v.select("vec_id", *[F.element_at("vector", i + 1).alias(f"f{i + 1}") for i in range(8)])
-    return V.density_explanations(checkpointed(K.kth_neighbor_distance(v, "vec_id", 5)), wide, "vec_id", [f"f{i + 1}" for i in range(8)], 5)
+    wide = v.select("vec_id", *[F.element_at("vector", i + 1).alias(f"f{i + 1}") for i in range(DIMENSIONS)])
+    return V.density_explanations(checkpointed(K.kth_neighbor_distance(v, "vec_id", 5)), wide, "vec_id", [f"f{i + 1}" for i in range(DIMENSIONS)], 5)

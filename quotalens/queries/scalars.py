@@ -264,10 +264,10 @@ def label_safe_projection(spark, sf):
 
 
 @query("category_filters", """
-SELECT c_custkey, c_mktsegment, c_nationkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 0""")
+SELECT c_custkey, c_mktsegment, c_nationkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')""")
 def category_filters(spark, sf):
     from quotalens.operators.review import category_filter
-    df = read(spark, sf, "customer").filter("c_acctbal > 0")
+    df = read(spark, sf, "customer")
     return category_filter(df, {"c_mktsegment": ["BUILDING", "MACHINERY"], "c_nationkey": None}).select("c_custkey", "c_mktsegment", "c_nationkey")
 
 
