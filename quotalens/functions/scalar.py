@@ -144,6 +144,13 @@ def lenient_bool(c, default: bool = False) -> Column:
     return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False).otherwise(default)
 
 
+def numeric_bool(c) -> Column:
+    """Truthy or falsy words; any other number is true unless it is zero, anything else is false."""
+    word = F.lower(F.trim(col(c).cast("string")))
+    n = word.try_cast("double")
+    return F.when(word.isin("true", "yes", "y", "1"), True).when(word.isin("false", "no", "n", "0"), False).otherwise(F.coalesce((n != 0) & ~F.isnan(n), F.lit(False)))
+
+
 def strict_bool(c, label: str = "flag") -> Column:
     """Boolean words only; anything else fails the query."""
     word = F.lower(F.trim(col(c).cast("string")))

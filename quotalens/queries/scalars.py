@@ -65,13 +65,15 @@ def text_cleaning(spark, sf):
 
 
 @query("lenient_boolean", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag = 'R' AS yes_no, l_linestatus = 'F' AS one_zero, NOT (l_returnflag = 'N' AND l_linestatus = 'O') AS unknown_word FROM lineitem""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag = 'R' AS yes_no, l_linestatus = 'F' AS one_zero, NOT (l_returnflag = 'N' AND l_linestatus = 'O') AS unknown_word,
+  CASE l_returnflag WHEN 'R' THEN true WHEN 'A' THEN false ELSE l_linenumber <> 1 END AS word_or_number FROM lineitem""")
 def lenient_boolean(spark, sf):
     li = read(spark, sf, "lineitem")
     word = F.when(F.col("l_returnflag") == "R", " Yes ").when(F.col("l_returnflag") == "A", "cancelled").otherwise("N")
     digit = F.when(F.col("l_linestatus") == "F", "1").otherwise("0.0")
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", C.lenient_bool(word).alias("yes_no"),
-                     C.lenient_bool(digit).alias("one_zero"), C.lenient_bool(F.concat("l_returnflag", "l_linestatus"), True).alias("unknown_word"))
+                     C.lenient_bool(digit).alias("one_zero"), C.lenient_bool(F.concat("l_returnflag", "l_linestatus"), True).alias("unknown_word"),
+                     C.numeric_bool(F.when(F.col("l_returnflag") == "R", " Yes").when(F.col("l_returnflag") == "A", "n").otherwise(((F.col("l_linenumber") - 1) / 2).cast("string"))).alias("word_or_number"))
 
 
 @query("strict_boolean", """
