@@ -5,6 +5,7 @@ A series is one key's monthly rows; all temporal baselines use strictly earlier
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -16,16 +17,15 @@ from quotalens.operators.ranking import unpivot
 TEMPORAL_MODELS = ("Rolling Residual", "EWMA Residual", "Seasonal Residual", "Change-Point / Level Shift")
 
 
-def prior_ewma(c: str, alpha: float, keys: Sequence[str], period: str) -> Column:
-    """Exponentially weighted mean of the earlier rows, seeded by the first value.
+def prior_values(c: str, alpha: float, keys: Sequence[str], period: str) -> Column:
+    """The earlier values that still weigh in an exponentially weighted mean: older ones weigh under 2^-60, less than rounding."""
+    reach = 1 if alpha >= 1 else math.ceil(60 * math.log(2) / -math.log1p(-alpha))
+    return F.collect_list(c).over(row_frame(keys, period, -reach, -1))
 
-    Closed form of the recursion: running sum of a·x·(1−a)^−i scaled by (1−a)^(t−1); doubles hold it
-    for about 2000 rows per series, far more than a monthly series has.
-    """
-    order = W.partitionBy(*keys).orderBy(period)
-    index = F.row_number().over(order) - 1
-    term = F.when(index == 0, F.col(c)).otherwise(alpha * F.pow(F.lit(1.0 - alpha), -index) * F.col(c))
-    return F.struct(index.alias("i"), term.alias("t"))
+
+def ewma(values: Column, alpha: float) -> Column:
+    """Exponentially weighted mean of an array, seeded by its first value; null for an empty one."""
+    return F.aggregate(values, F.lit(None).cast("double"), lambda mean, x: F.when(mean.isNull(), x).otherwise((1.0 - alpha) * mean + alpha * x))
 
 
 def temporal_details(df: DataFrame, row_id: str, keys: Sequence[str], period: str, metrics: Sequence[str], window: int = 6,
@@ -42,10 +42,10 @@ def temporal_details(df: DataFrame, row_id: str, keys: Sequence[str], period: st
         "_h": F.collect_list("observed").over(row_frame(series, period, -window, -1)),
         "history_length": F.count("observed").over(before),
         "_seasonal": calendar_lag("observed", 12, series, period),
-        "_term": prior_ewma("observed", alpha, series, period)})
+        "_past": prior_values("observed", alpha, series, period)})
     long = long.withColumns({
         "_expected": array_median(h), "_mad": array_mad(h), "_enough": F.size(h) >= min_history,
-        "_ewma": F.when(F.col("_term.i") > 0, F.pow(F.lit(1.0 - alpha), F.col("_term.i") - 1) * F.sum("_term.t").over(before))})
+        "_ewma": ewma(F.col("_past"), alpha)})
     long = long.withColumn("_scale", F.coalesce(F.greatest(1.4826 * F.col("_mad"), F.abs("_expected") * 0.1, F.lit(1.0)), F.lit(1.0)))
     long = long.withColumn("_residual", F.when(F.col("_enough"), (F.col("observed") - F.col("_expected")) / F.col("_scale")).otherwise(0.0))
     long = long.withColumns({

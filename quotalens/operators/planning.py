@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from quotalens.functions import first_match, split_label
 from quotalens.operators import history as H
 from quotalens.operators.aggregates import forecast_errors
-from quotalens.operators.detectors import prior_ewma
+from quotalens.operators.detectors import ewma, prior_values
 from quotalens.operators.joins import coverage_check
 from quotalens.operators.quality import all_rows, check_row, reconciliation, union_all
 from quotalens.operators.ranking import null_safe_join, quantiles, unpivot, with_scalars, with_totals
@@ -19,13 +19,11 @@ METHODS = ("seasonal_naive", "moving_average", "exponential_smoothing")
 
 def one_step_forecasts(df: DataFrame, keys: Sequence[str], period: str, c: str, alpha: float = 0.3) -> DataFrame:
     """For every row the three forecasts made from earlier rows (never below zero, 0 without history)."""
-    order = W.partitionBy(*keys).orderBy(period)
-    df = df.withColumn("_term", prior_ewma(c, alpha, keys, period))
+    df = df.withColumn("_past", prior_values(c, alpha, keys, period))
     mean3 = F.avg(c).over(H.row_frame(keys, period, -3, -1))
-    smooth = F.when(F.col("_term.i") > 0, F.pow(F.lit(1 - alpha), F.col("_term.i") - 1) * F.sum("_term.t").over(order.rowsBetween(W.unboundedPreceding, -1)))
     floor = lambda e: F.greatest(F.coalesce(e, F.lit(0.0)), F.lit(0.0))
     return df.withColumns({
-        "seasonal_naive": floor(F.coalesce(H.calendar_lag(c, 12, keys, period), mean3)), "moving_average": floor(mean3), "exponential_smoothing": floor(smooth)}).drop("_term")
+        "seasonal_naive": floor(F.coalesce(H.calendar_lag(c, 12, keys, period), mean3)), "moving_average": floor(mean3), "exponential_smoothing": floor(ewma(F.col("_past"), alpha))}).drop("_past")
 
 
 def backtest(df: DataFrame, keys: Sequence[str], period: str, metrics: Sequence[str], train_end: str, validation_end: str) -> DataFrame:

@@ -76,6 +76,17 @@ def test_forecasts(spark):
     assert last["exponential_smoothing"] == pytest.approx(e)
 
 
+def test_smoothing_of_a_long_series_stays_finite(spark):
+    values = [float(v % 17) for v in range(2600)]
+    rows = [("r", dt.date(1900 + i // 12, i % 12 + 1, 1), v) for i, v in enumerate(values)]
+    got = P.one_step_forecasts(spark.createDataFrame(rows, "rep string, date date, x double"), ["rep"], "date", "x").orderBy("date").toPandas()
+    e, want = None, []
+    for v in values:
+        want.append(0.0 if e is None else e)
+        e = v if e is None else .3 * v + .7 * e
+    assert np.allclose(got["exponential_smoothing"], want)
+
+
 def test_staffing_need(spark):
     row = spark.createDataFrame([(300.0, 100.0, 2.0)], "w double, c double, f double").select(*[e.alias(n) for n, e in P.staffing_need("w", "c", "f").items()]).first()
     assert (row["required_fte"], row["fte_gap"], row["utilization"]) == (3.0, 1.0, 1.5)
