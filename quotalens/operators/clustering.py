@@ -170,15 +170,15 @@ def k_distance_quantiles(df: DataFrame, row_id: str, k: int, probabilities: Sequ
 # --- DBSCAN ---------------------------------------------------------------------------------
 
 
-def min_label_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def min_label_components(edges: DataFrame) -> DataFrame:
     """(node, label): smallest node of each connected component, from undirected (a, b) edges.
 
-    Labels travel over edges and jump to their label's label; each round is checkpointed.
+    Labels travel over edges and jump to their label's label until none changes; each round is checkpointed.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = checkpointed(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
     both = checkpointed(both)
-    for _ in range(rounds):
+    while True:
         offered = both.join(labels.withColumnRenamed("node", "b"), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_offer"))
         step = labels.join(offered, ["node"], "left").withColumn("_new", F.least("label", F.coalesce("_offer", "label")))
         jump = step.join(labels.select(F.col("node").alias("_new"), F.col("label").alias("_far")), ["_new"], "left")
@@ -186,7 +186,6 @@ def min_label_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if fresh.filter(F.col("label") != F.col("_old")).isEmpty():
             return fresh.select("node", "label")
         labels = fresh.select("node", "label")
-    raise RuntimeError(f"components not settled after {rounds} rounds")
 
 
 def dbscan(df: DataFrame, row_id: str, eps: float, min_samples: int, vector: str = "vector", pivots: int = 32, block_rows: int = 4096) -> DataFrame:

@@ -75,18 +75,16 @@ class IsolationForest:
 
 
 def fit_isolation_forest(df: DataFrame, row_id: str, trees: int = 100, samples: int = 256, feature_share: float = 1.0, seed: int = 42, vector: str = "vector") -> IsolationForest:
-    """Rows go to a few trees by hash; each tree keeps its first ``samples`` rows in hash order and grows in one small task."""
+    """Each tree draws exactly ``samples`` rows (all rows if there are fewer), the first in its own hash order, and grows in one small task.
+
+    A row enters a tree's draw only if its hash there is low: about four times the rows wanted, so the draw never runs short.
+    """
     n = df.count()
     samples = min(samples, n)
-    copies = min(trees, max(1, math.ceil(2.0 * trees * samples / max(n, 1))))
-    keep = min(1.0, 4.0 * trees * samples / max(n * copies, 1))
-    share = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), row_id), F.lit(1_000_000)) / 1_000_000
-    base = df.select(row_id, vector).filter(share("keep") < keep) if keep < 1 else df.select(row_id, vector)
-    if copies == trees:
-        tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    else:
-        tree = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(copies)), lambda c: F.pmod(F.xxhash64(F.lit(seed), c, F.col(row_id)), F.lit(trees)).cast("int"))))
-    placed = base.withColumn("tree", tree).withColumn("_h", F.xxhash64(F.lit(seed), "tree", row_id))
+    share = min(1.0, (4.0 * samples + 64) / max(n, 1))
+    highest = min(2**63 - 1, int(-(2**63) + share * 2**64))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, F.col(row_id)).alias("_h")))
+    placed = df.select(row_id, vector, F.inline(F.filter(draws, lambda d: d["_h"] <= F.lit(highest))))
     picked = top_n_per_group(placed, ["tree"], [F.col("_h"), F.col(row_id)], samples).select("tree", vector)
     depth = math.ceil(math.log2(max(samples, 2)))
 

@@ -47,6 +47,14 @@ def test_pca_matches_numpy_and_forest_finds_the_outlier(spark):
     assert scored.sort_values("raw_score").id.iloc[-1] == 9999 and scored.raw_score.between(0, 1).all()
 
 
+def test_every_tree_draws_its_exact_number_of_rows(spark):
+    _, df = cloud(spark)
+    n = df.count()
+    for samples in (2, 64, n, 10 * n):
+        forest = FO.fit_isolation_forest(df, "id", trees=30, samples=samples)
+        assert len(forest.trees) == 30 and {int(t[0, 4]) for t in forest.trees} == {min(samples, n)}
+
+
 def test_constant_feature_keeps_scale_one(spark):
     train = spark.createDataFrame([(float(i), 0.0) for i in range(9)], "a double, b double")
     p = PP.fit_preprocessor(train, ["a", "b"])
