@@ -15,11 +15,13 @@ _OWN = _V + """
 , act AS (SELECT customer_id, period, rep_id, sum(n) AS n FROM (SELECT customer_id, period, rep_id, count(*) AS n FROM ledger GROUP BY ALL UNION ALL SELECT customer_id, period, rep_id, sum(pc) FROM v GROUP BY ALL) GROUP BY ALL)
 , dyn AS (SELECT customer_id, period, rep_id FROM act QUALIFY row_number() OVER (PARTITION BY customer_id, period ORDER BY n DESC, rep_id) = 1)
 , st AS (SELECT customer_id, min(period) AS start FROM act GROUP BY 1)
+, tm AS (SELECT n_name AS terr, s_suppkey AS rep_id, row_number() OVER (PARTITION BY n_name ORDER BY CAST(s_suppkey AS VARCHAR)) - 1 AS slot, count(*) OVER (PARTITION BY n_name) AS size FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 , cm AS (SELECT c_custkey AS customer_id, cn.n_name AS territory_id, CASE WHEN c_acctbal > 6000 THEN 'high' WHEN c_acctbal > 2000 THEN 'medium' ELSE 'low' END AS pri, c_mktsegment AS seg,
-   (SELECT min(rep_id) FROM ledger l WHERE l.customer_id = c_custkey) AS owner FROM customer JOIN nation cn ON c_nationkey = cn.n_nationkey WHERE c_custkey IN (SELECT customer_id FROM ledger))
+   coalesce(CASE WHEN c_mktsegment <> 'MACHINERY' THEN (SELECT min(rep_id) FROM ledger l WHERE l.customer_id = c_custkey) END, tm.rep_id, (SELECT min(s_suppkey) FROM supplier)) AS owner
+   FROM customer JOIN nation cn ON c_nationkey = cn.n_nationkey LEFT JOIN tm ON tm.terr = cn.n_name AND tm.slot = CAST('0x' || substr(sha256('42|' || c_custkey), 1, 15) AS BIGINT) % tm.size)
 , mm AS (SELECT CAST(unnest(generate_series(min(period), max(period), INTERVAL 1 MONTH)) AS DATE) AS period FROM (SELECT period FROM ledger UNION ALL SELECT period FROM v))
 , own AS (SELECT cm.customer_id, mm.period, cm.territory_id, pri, CASE WHEN seg = 'BUILDING' THEN 1.0::DOUBLE ELSE CASE pri WHEN 'high' THEN 2.0 WHEN 'medium' THEN 1.0 ELSE 0.5 END END AS req, coalesce(dyn.rep_id, cm.owner) AS rep_id
-   FROM cm JOIN st USING (customer_id) JOIN mm ON mm.period >= st.start LEFT JOIN dyn ON dyn.customer_id = cm.customer_id AND dyn.period = mm.period)"""
+   FROM cm LEFT JOIN st USING (customer_id) JOIN mm ON st.start IS NULL OR mm.period >= st.start LEFT JOIN dyn ON dyn.customer_id = cm.customer_id AND dyn.period = mm.period)"""
 _COV = _OWN + """
 , seen AS (SELECT customer_id, period, count(DISTINCT rep_id)::DOUBLE AS sr, sum(pc) AS ov, sum(cc) AS oc, sum(ph) AS oh, sum(th) AS ot FROM v GROUP BY ALL)
 , c0 AS (SELECT own.*, coalesce(sr, 0) AS sr, coalesce(ov, 0) AS ov, coalesce(oc, 0) AS oc, coalesce(oh, 0) AS oh, coalesce(ot, 0) AS ot, CASE WHEN ov > 0 THEN ot / ov END AS tr FROM own LEFT JOIN seen USING (customer_id, period))

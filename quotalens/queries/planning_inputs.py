@@ -58,11 +58,13 @@ def visits(spark, sf, tx=None):
 
 
 def customers(spark, sf, tx=None):
+    """All customers; those of one segment, and those without an order, have no owner of their own."""
     c = read(spark, sf, "customer").join(read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     active = (ledger(spark, sf) if tx is None else tx).groupBy("customer_id").agg(F.min("rep_id").alias("primary_rep_id"))
     priority = F.when(F.col("c_acctbal") > 6000, "high").when(F.col("c_acctbal") > 2000, "medium").otherwise("low")
     return c.select(F.col("c_custkey").alias("customer_id"), F.col("n_name").alias("territory_id"), "c_mktsegment", priority.alias("customer_priority"),
-                    F.when(F.col("c_mktsegment") == "BUILDING", "monthly").otherwise(F.lit(None).cast("string")).alias("required_visit_frequency")).join(active, ["customer_id"])
+                    F.when(F.col("c_mktsegment") == "BUILDING", "monthly").otherwise(F.lit(None).cast("string")).alias("required_visit_frequency")).join(active, ["customer_id"], "left").withColumn(
+        "primary_rep_id", F.when(F.col("c_mktsegment") != "MACHINERY", F.col("primary_rep_id")))
 
 
 def transactions(spark, sf):
