@@ -234,10 +234,10 @@ def exact_id(prefix: str, *values, length: int = 16) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(text, 256), 1, length))
 
 
-def stable_integer(value, seed: int = 42, modulus: int | None = None) -> Column:
-    """First 15 hex digits of a seeded SHA-256 as a number, optionally reduced."""
+def stable_integer(value, seed: int = 42, modulus: int | None = None, digits: int = 15) -> Column:
+    """First hex digits of a seeded SHA-256 as a number, optionally reduced."""
     digest = F.sha2(F.concat(F.lit(f"{seed}|"), col(value).cast("string")), 256)
-    n = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    n = F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
     return F.pmod(n, F.lit(modulus)) if modulus else n
 
 

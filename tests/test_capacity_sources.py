@@ -100,3 +100,19 @@ def test_injection_keeps_training_rows_and_traces_changes(spark):
     marked = I.repair_provenance(bad.select(*df.columns), changes, ["row_id"])
     assert marked.filter("data_lineage = 'synthetic_injected'").count() == 6
     assert I.severity_counts(10, {"low": .5, "medium": .3, "high": .2}) == {"low": 5, "medium": 3, "high": 2}
+
+
+def test_schema_adaptation_solves_the_missing_measure(spark):
+    rows = lambda data, schema: SR.adapt_schema(spark.createDataFrame(data, schema))
+    out, origin = rows([("6", "2", "Jan", "2024", " x "), ("6", "0", "13", "2024", None)], "Revenue string, Qty string, Month string, Year string, `Sales-Channel` string")
+    got = sorted((r["sales"], r["quantity"], r["price"], r["date"], r["channel"], r["city"]) for r in out.collect() if r["date"])
+    assert got == [(6.0, 2.0, 3.0, JAN, "x", "Unknown City")]
+    assert out.filter("date IS NULL").select("price", "channel").first() == (None, "Unknown Channel")
+    assert out.select("customer").distinct().count() == 2
+    assert origin["sales"] == ("source", "Revenue") and origin["price"][0] == "derived" and origin["customer"][0] == "generated" and origin["city"][0] == "filled"
+    out, origin = rows([(5.0, 1.0, "2024-02-09", "a")], "amount double, sales double, `Transaction Date` string, account string")
+    assert out.select("sales", "amount", "date", "customer", "quantity", "price").first() == (1.0, 5.0, FEB, "a", None, None)
+    with pytest.raises(ValueError):
+        rows([(1.0, "2024")], "price double, year string")
+    with pytest.raises(ValueError):
+        rows([(1.0,)], "sales double")
