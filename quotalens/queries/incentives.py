@@ -44,7 +44,7 @@ def policy_rule_table(spark, sf):
 
 @query("incentive_calculation", _CALC + """
 SELECT rep_id, period, policy_version, att AS attainment, CAST(base AS DOUBLE) AS base, CAST(accel AS DOUBLE) AS accelerator, CAST(mix AS DOUBLE) AS mix_bonus, CAST(newb AS DOUBLE) AS new_customer_bonus, CAST(pen AS DOUBLE) AS discount_penalty, CAST(claw AS DOUBLE) AS return_clawback,
-  CAST(last_day(period) + delay AS DATE) AS payout_date FROM f""", floats="attainment base accelerator mix_bonus new_customer_bonus discount_penalty return_clawback", digits=4)
+  CAST(last_day(period) + delay AS DATE) AS payout_date FROM f""", floats="attainment base accelerator mix_bonus new_customer_bonus discount_penalty return_clawback")
 def incentive_calculation(spark, sf):
     """Components before rounding to cents."""
     c = calculated(spark, sf, cents=False)

@@ -196,7 +196,7 @@ def dimension_extracts(spark, sf):
 
 
 @query("schema_adaptation", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * l_extendedprice AS sales, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, 'Unknown City' AS city, trim(l_returnflag) AS channel FROM lineitem""", floats="sales", digits=3)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * l_extendedprice AS sales, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, 'Unknown City' AS city, trim(l_returnflag) AS channel FROM lineitem""", floats="sales")
 def schema_adaptation(spark, sf):
     li = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("string").alias("Qty"), F.col("l_extendedprice").cast("string").alias("Unit Price"),
                                             F.date_format("l_shipdate", "yyyy-MM-dd").alias("Transaction Date"), F.concat(F.lit(" "), "l_returnflag").alias("Sales Channel"))

@@ -10,16 +10,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _shift(digits: int) -> float:
-    """A sliver of the last digit: keeps values that lie exactly half way off the rounding edge."""
-    return round(0.0317 * 10.0 ** -digits, digits + 4)
+GUARD = 1e4
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round doubles so that the order of floating additions cannot show."""
+def rounded(df: DataFrame, names: list[str], digits: int = 6) -> DataFrame:
+    """Round the named columns to the nearest value so that the order of floating additions cannot show.
+
+    Four more digits are rounded first: sums that differ in their last bits then agree on which side
+    of a half way value they lie, and no value is moved.
+    """
+    fine, scale = F.lit(10.0 ** digits * GUARD), F.lit(10.0 ** digits)
     return df.select(*[
-        (F.round(F.col(f"`{name}`") + F.lit(_shift(digits)), digits) + F.lit(0.0)).alias(name) if kind in ("double", "float") else F.col(f"`{name}`")
-        for name, kind in df.dtypes
+        (F.rint(F.rint(F.col(f"`{name}`") * fine) / F.lit(GUARD)) / scale + F.lit(0.0)).alias(name) if name in names else F.col(f"`{name}`")
+        for name in df.columns
     ])
 
 
@@ -28,7 +31,7 @@ def query(name: str, sql: str | None = None, floats: str = "", digits: int = 6):
 
     def register(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(function(spark, sf_dir), digits)
+            return rounded(function(spark, sf_dir), floats.split(), digits)
 
         run.__name__ = name
         run.__doc__ = function.__doc__
@@ -38,7 +41,8 @@ def query(name: str, sql: str | None = None, floats: str = "", digits: int = 6):
         if sql is not None:
             names = floats.split()
             if names:
-                replaced = ", ".join(f'round("{n}" + {_shift(digits)!r}::DOUBLE, {digits}) + 0.0 AS "{n}"' for n in names)
+                fine, scale, guard = (f"{x!r}::DOUBLE" for x in (10.0 ** digits * GUARD, 10.0 ** digits, GUARD))
+                replaced = ", ".join(f'round_even(round_even("{n}" * {fine}, 0) / {guard}, 0) / {scale} + 0.0 AS "{n}"' for n in names)
                 ORACLES[name] = f"SELECT * REPLACE ({replaced}) FROM (\n{sql.strip()}\n) AS q"
             else:
                 ORACLES[name] = sql.strip()
