@@ -54,6 +54,18 @@ def test_host_rates_shrink(spark):
     assert 0 < rates["a"] < 0.5 < rates["b"] < 1
 
 
+def test_mixed_hosts_lose_strict_failures(spark):
+    """No host fails a strict rule mostly, so only the odds decide."""
+    def clean(i):
+        return " ".join(f"plain{i}word{j}" for j in range(40))
+
+    rows = [(1000 * h + i, clean(1000 * h + i) + ("".join(f" {j}##" for j in range(20)) if i % 10 == 0 else ""), f"mixed{h}") for h in range(4) for i in range(50 + h)]
+    rows += [(9000 + i, clean(9000 + i) + (" ######" if i == 7 else ""), "tidy") for i in range(400)]  # 6 symbols in 41 words: chance
+    got = {r.doc_id: (r.kept, r.base_failed) for r in judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(failed for _, failed in got.values())
+    assert {d for d, (kept, _) in got.items() if not kept} == {d for d, t, h in rows if " 0## 1##" in t}
+    one = spark.createDataFrame([(d, t, None) for d, t, h in rows if h == "mixed1"], "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in judge(one).where("NOT kept").collect()) == [1000, 1010, 1020, 1030, 1040, 1050]
 
 
 def test_line_chunks_join_to_the_text(made):
