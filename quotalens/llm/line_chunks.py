@@ -47,7 +47,8 @@ def line_dedup(docs: DataFrame, one_in: int = ONE_IN) -> DataFrame:
     ``docs`` needs doc_id and text; all its columns come back with text replaced, and n_removed_chunks
     (long) is added.  Blank lines do not count as lines of a chunk.  A null text stays null and an empty
     one empty.  Rows that share a doc_id are one document for the choice of the first: the same chunk at
-    the same place of both stays in both.  A null doc_id comes before all others.  Line breaks around a
+    the same place of both stays in both.  Otherwise they are told apart by a hash of their text, as
+    are rows without an id: each loses only chunks of its own that were compared.  A null doc_id comes before all others.  Line breaks around a
     removed chunk go with it.  Two different chunks of one hash both stay.  An empty table gives an
     empty table.
     """
@@ -56,25 +57,29 @@ def line_dedup(docs: DataFrame, one_in: int = ONE_IN) -> DataFrame:
     rows = docs.toDF(*[f"c{i}" for i in range(len(columns))])  # no name of the caller's can clash
     chunks = line_chunks(F.col(text_column), one_in)
 
-    # (id, place, hash) of each chunk of several lines, without its text
+    # a row is known by its id and its text's hash, as an id may be null or shared
+    rows = rows.withColumn("key", F.xxhash64(text_column))
+
+    # (id, key, place, hash) of each chunk of several lines, without its text
     marks = F.transform(chunks, lambda c, k: F.named_struct(F.lit("k"), k, F.lit("h"), F.when(c["n_lines"] > 1, F.xxhash64(c["chunk"]))))
-    hashed = rows.where(F.col(text_column).contains("\n")).select(F.col(row_id).alias("id"), F.explode(marks).alias("s")).select("id", "s.k", "s.h").where("h IS NOT NULL")
+    hashed = rows.where(F.col(text_column).contains("\n")).select(F.col(row_id).alias("id"), "key", F.explode(marks).alias("s")).select("id", "key", "s.k", "s.h").where("h IS NOT NULL")
     repeated = hashed.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "k")).alias("first")).where("n > 1").drop("n")
     suspects = (
-        hashed.join(repeated, "h").select("id", F.struct("k", "h", "first").alias("s"))
-        .groupBy(F.col("id").alias("of")).agg(F.collect_set("s").alias("suspects"))  # at most the chunks of one document
+        hashed.join(repeated, "h").select("id", "key", F.struct("k", "h", "first").alias("s"))
+        .groupBy(F.col("id").alias("of"), F.col("key").alias("of_key")).agg(F.collect_set("s").alias("suspects"))  # at most the chunks of one text
     )
 
     # the text of suspected chunks, and of the first of each hash
-    texts = rows.join(suspects, F.col(row_id).eqNullSafe(F.col("of"))).select(F.col(row_id).alias("id"), "suspects", chunks.alias("chunks"))
-    shown = texts.select("id", "chunks", F.inline("suspects")).select("id", "k", "h", "first", F.get("chunks", F.col("k"))["chunk"].alias("chunk"))
+    same_row = F.col(row_id).eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))
+    texts = rows.join(suspects, same_row).select(F.col(row_id).alias("id"), "key", "suspects", chunks.alias("chunks"))
+    shown = texts.select("id", "key", "chunks", F.inline("suspects")).select("id", "key", "k", "h", "first", F.get("chunks", F.col("k"))["chunk"].alias("chunk"))
     is_first = F.struct("id", "k").eqNullSafe(F.col("first"))
     firsts = shown.where(is_first).groupBy("h").agg(F.max("chunk").alias("first_chunk"))
     gone = (
         shown.where(~is_first).join(firsts, "h").where(F.col("chunk") == F.col("first_chunk"))
-        .groupBy(F.col("id").alias("of")).agg(F.collect_set("k").alias("gone"))
+        .groupBy(F.col("id").alias("of"), F.col("key").alias("of_key")).agg(F.collect_set("k").alias("gone"))
     )
-    cut = rows.join(gone, F.col(row_id).eqNullSafe(F.col("of")), "left")
+    cut = rows.join(gone, same_row, "left")
     kept = F.array_join(F.filter(chunks, lambda c, k: ~F.array_contains("gone", k))["chunk"], "\n")
     text = F.when(F.col("gone").isNull(), F.col(text_column)).otherwise(kept)
     out = [(text if name == "text" else F.col(f"c{i}")).alias(name) for i, name in enumerate(columns)]

@@ -102,6 +102,31 @@ def test_line_dedup(spark, made):
     assert rows_of(line_dedup(df.limit(0))) == []
 
 
+@pytest.mark.parametrize("shared", [None, 77])
+def test_line_dedup_tells_texts_of_one_id_apart(spark, shared):
+    """A chunk that repeats in one text of an id is not cut from the id's other texts."""
+    def lines(name, n=24):
+        return "\n".join(f"{name} line {i} of this text" for i in range(n))
+
+    rows = [(shared, lines(f"own{i}")) for i in range(12)] + [(shared, "head\n" + lines("own0")), (shared, lines("copied")), (90, lines("copied"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    cut = [(r.doc_id, r.text, r.c) for r in df.select("doc_id", "text", line_chunks(df.text).alias("c")).collect()]
+    first = {}
+    for d, _, own in cut:
+        for k, c in enumerate(own):
+            if c.n_lines > 1:
+                place = (d is not None, d or 0, k)
+                first[c.chunk] = min(first.get(c.chunk, place), place)
+    want = []
+    for d, t, own in cut:
+        left = [c.chunk for k, c in enumerate(own) if c.n_lines < 2 or first[c.chunk] == (d is not None, d or 0, k)]
+        want.append((d, "\n".join(left), len(own) - len(left)))
+    got = [(r.doc_id, r.text, r.n_removed_chunks) for r in line_dedup(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(w[2] for w in want) > 3
+    assert all((shared, lines(f"own{i}"), 0) in got for i in range(1, 12))
+
+
 def png():
     part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(b"\0\0")) + part(b"IEND", b"")
