@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quotalens.llm.host_rules import judge
 from quotalens.llm.line_chunks import line_dedup
-from quotalens.llm.ngram_join import ngram_components
+from quotalens.llm.ngram_join import linked_documents
 from quotalens.llm.packing import best_fit_packing
 from quotalens.llm.store import saved
 from quotalens.llm.suffix_dedup import suffix_dedup
@@ -35,9 +35,20 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the least doc_id stays; a null doc_id stays."""
-    out = ngram_components(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("of")).distinct()
-    return docs.join(out, docs["doc_id"].cast("long") == out["of"], "left_anti")
+    """Of each component of similar documents one row stays, the least by doc_id (null last) and hash of its text.
+
+    Of rows equal in both the least by all columns stays.  Texts without words are similar to nothing and stay.
+    """
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key"))
+    seen = linked_documents(docs).where("first_key IS NOT NULL").groupBy(F.col("doc_id").alias("of"), "text_key").agg(F.max(first).alias("first"), F.count("*").alias("n"))
+    out = saved(seen.where("NOT first OR n > 1").drop("n"), "verdicts")
+    of, key = docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    kept = docs.join(out, of.eqNullSafe(out["of"]) & (key == out["text_key"]), "left_anti")
+    copied = out.where("first")
+    if copied.isEmpty():
+        return kept
+    copies = docs.join(copied, of.eqNullSafe(copied["of"]) & (key == copied["text_key"]), "left_semi")
+    return kept.union(copies.groupBy(of, key).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quotalens.llm import chunks
@@ -28,7 +29,7 @@ BITMAP = 16  # longs
 #: Making and shuffling one subset costs as much as comparing about 64 entries of a list; and about one entry
 #: in 16 scans its list, as the others are settled by their comparison with its centre.
 SUBSET_COST = 64 * 16
-SETS = "doc_id long, n long, node long, z long, scan double, elements array<long>, bits array<long>"
+SETS = "doc_id long, text_key long, n long, node long, z long, scan double, elements array<long>, bits array<long>"
 
 
 class _Sets:
@@ -73,10 +74,11 @@ def _needed(n: Column | np.ndarray, percent: int):
 
 
 def prepared_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n, node (the name of its set; null if empty), and for one document of
+    """One row per document: doc_id, text_key (xxhash64 of the text), n, node (the name of its set; null if empty), and for one document of
     each set that can have a partner: elements in the global order, z (how many of them occur nowhere
     else, these come first), scan (length of the lists of its prefix) and a bitmap of its elements."""
-    dealt, ranges = chunks.chunked(docs)
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    dealt, ranges = chunks.chunked(keyed, ["text_key"])
 
     def ask(chunk: int, rows: pa.Table) -> pa.Table:
         names, counts = _Sets(rows, k).question()
@@ -111,7 +113,7 @@ def prepared_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Da
             elements.append(held.view(np.int64))
             bits.append(row.view(np.int64))
         return pa.table({
-            "doc_id": rows["doc_id"], "n": pa.array(sets.n.astype(np.int64)), "node": pa.array(sets.nodes.view(np.int64), mask=sets.n == 0), "z": pa.array(z, mask=z < 0),
+            "doc_id": rows["doc_id"], "text_key": pc.struct_field(rows["rest"], "text_key"), "n": pa.array(sets.n.astype(np.int64)), "node": pa.array(sets.nodes.view(np.int64), mask=sets.n == 0), "z": pa.array(z, mask=z < 0),
             "scan": pa.array(scans, pa.float64()), "elements": pa.array(elements, pa.list_(pa.int64())), "bits": pa.array(bits, pa.list_(pa.int64())),
         })
 
@@ -198,6 +200,24 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return own.select("node", "component").distinct().join(wider, "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
 
 
+def linked_documents(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """ngram_components with the keys of rows: doc_id, text_key (xxhash64 of the text), n_shingles,
+    component_id and first_key.
+
+    The first row of a component is the least by (doc_id, text_key), null ids last; component_id and
+    first_key are its id and key.  A text without words has no first_key.
+    """
+    base = prepared_sets(docs, k, percent)
+    sets = base.where("elements IS NOT NULL")
+    merged = linked_sets(sets, percent)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    nodes = base.where("node IS NOT NULL").groupBy("node").agg(F.min(row).alias("least")).join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = nodes.groupBy("component").agg(F.min("least").alias("first"))
+    ids = nodes.join(least, "component").select(F.col("node").alias("of"), "first.doc_id", "first.text_key").toDF("of", "component_id", "first_key")
+    component_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return base.select("doc_id", "text_key", "n", "node").join(ids, F.col("node") == F.col("of"), "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), component_id, "first_key")
+
+
 def ngram_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Components of documents whose word n-gram sets have a Jaccard similarity of ``percent`` or more.
 
@@ -209,10 +229,4 @@ def ngram_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     part, but is no component's id unless all ids of the component are null.  An empty table gives an
     empty table.  Elements and sets are compared by 64-bit names.
     """
-    base = prepared_sets(docs, k, percent)
-    sets = base.where("elements IS NOT NULL")
-    merged = linked_sets(sets, percent)
-    nodes = base.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = nodes.join(least, "component").select(F.col("node").alias("of"), "component_id")
-    return base.select("doc_id", "n", "node").join(ids, F.col("node") == F.col("of"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return linked_documents(docs, k, percent).select("doc_id", "n_shingles", "component_id")

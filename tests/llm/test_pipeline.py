@@ -58,3 +58,23 @@ def test_stages_and_run(spark, made, tmp_path):
         assert out.count() == 0
         if name != "best-fit packing":
             assert out.dtypes == empty.dtypes
+
+
+def test_one_row_of_each_component_stays(spark, tmp_path):
+    def text(name, n=60):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    near = text("a") + " end"
+    docs = [
+        (1, text("a"), "x"), (5, near, "x"), (5, text("clean"), "x"),  # 5 is a copy of 1, and a text of its own
+        (7, text("b"), "z"), (7, text("b"), "y"), (7, text("b"), "y"),  # equal rows of one id
+        (None, text("c"), "x"), (None, text("c"), "y"), (None, text("c") + " end", "x"),  # copies without ids
+        (None, text("a"), "x"), (None, text("alone"), "x"),
+        (None, "", "x"), (None, "", "x"), (8, None, "x"), (9, " ", "x"),  # nothing to compare
+    ]
+    df = spark.createDataFrame([(d, t, "en", s, 7) for d, t, s in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = [(r.doc_id, r.text, r.source) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    without = [r for r in got if r[0] is None and (r[1] or "").startswith("c0 ")]
+    assert len(without) == 1 and without[0] in docs
+    want = [(1, text("a"), "x"), (5, text("clean"), "x"), (7, text("b"), "y"), (None, text("alone"), "x"), *without, *docs[-4:]]
+    assert sorted(got, key=str) == sorted(want, key=str)
