@@ -60,7 +60,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their places in sequences of 2048 tokens."""
-    return best_fit_packing(docs)
+    return best_fit_packing(docs, special=True)
 
 
 STAGES = [

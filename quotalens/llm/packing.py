@@ -22,7 +22,7 @@ VOCABULARY = "word_bpe_49k.json"
 BUCKET_ROWS = 20_000
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = END_ID, with_ids: bool = False, special: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` tokens of each text with its end id: doc_id, piece, start, length, ids_crc32[, ids]."""
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -32,7 +32,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VO
     shape = pa.schema(fields)
 
     def run(batches):
-        encoder = Encoder.of(vocabulary, words=True)
+        encoder = Encoder.of(vocabulary, words=True, special=special)
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
             for low, ids, begins in encoder.encode(batch.column("text")):
@@ -145,17 +145,17 @@ def slots_of(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "number", "sequence", "offset"), np.array(rows, np.int64).reshape(-1, 4).T))
 
 
-def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
+def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = END_ID, special: bool = False) -> DataFrame:
     """Place each piece of each document in a sequence of at most ``capacity`` tokens.
 
     ``docs`` needs doc_id and text; other columns are ignored.  A text is encoded, ``end_id`` is
     appended, and only what is longer than a sequence is cut into full pieces and a rest.  Returns per
     piece doc_id, piece, start (in the document), length, ids_crc32, sequence_id and offset (in the
     sequence, without gaps).  Null and empty texts are the end id alone.  Repeated rows and equal
-    lengths are separate pieces; which of them takes which place follows doc_id and piece.  A null
-    doc_id stays null.  An empty table gives an empty table.
+    lengths are separate pieces; which of them takes which place follows doc_id and piece.  ``special``
+    gives literals of special tokens their ids.  A null doc_id stays null.  An empty table gives an empty table.
     """
-    pieces = saved(token_pieces(docs, capacity, vocabulary, end_id), "pieces")
+    pieces = saved(token_pieces(docs, capacity, vocabulary, end_id, special=special), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most one row per length
     buckets = max(1, -(-sum(histogram.values()) // BUCKET_ROWS))
     slots = slots_of(plan_sequences(histogram, capacity))
@@ -183,9 +183,9 @@ def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str
     return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def packed_sequences(docs: DataFrame, placed: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
+def packed_sequences(docs: DataFrame, placed: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = END_ID, special: bool = False) -> DataFrame:
     """The sequences themselves: sequence_id, ids (array), doc_ids (array, one per piece).  A group is one sequence."""
-    ids = token_pieces(docs, capacity, vocabulary, end_id, with_ids=True).select("doc_id", "piece", "ids_crc32", "ids").dropDuplicates(["doc_id", "piece", "ids_crc32"])
+    ids = token_pieces(docs, capacity, vocabulary, end_id, with_ids=True, special=special).select("doc_id", "piece", "ids_crc32", "ids").dropDuplicates(["doc_id", "piece", "ids_crc32"])
     parts = placed.join(ids, (placed.doc_id.eqNullSafe(ids.doc_id)) & (placed.piece == ids.piece) & (placed.ids_crc32 == ids.ids_crc32)).select("sequence_id", "offset", placed.doc_id, "ids")
     rows = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids", "doc_id"))).alias("rows"))
     return rows.select("sequence_id", F.flatten("rows.ids").alias("ids"), F.col("rows.doc_id").alias("doc_ids"))

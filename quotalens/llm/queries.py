@@ -43,7 +43,7 @@ def op6(spark, sf_dir):
     """Token ids written as wavelet matrices and read back, per document."""
     from quotalens.llm.wavelet import read_documents, write_shards
 
-    return read_documents(write_shards(documents(spark, sf_dir)))
+    return read_documents(write_shards(documents(spark, sf_dir), special=True))
 
 
 @query("op10_best_fit_packing")
@@ -51,7 +51,7 @@ def op10(spark, sf_dir):
     """All documents packed into sequences of 2048 tokens."""
     from quotalens.llm.packing import best_fit_packing
 
-    return best_fit_packing(documents(spark, sf_dir))
+    return best_fit_packing(documents(spark, sf_dir), special=True)
 
 
 @query("op4_quality_rules")

@@ -28,24 +28,30 @@ class Encoder:
     ``words`` units are runs without white space (for vocabularies that drop white space and fold case).
     Otherwise a unit is such a run with one space before it, and white space is cut as a byte-level
     pattern cuts it.  A text with white space beyond ASCII is one unit, as runs of it may join.
+
+    ``special``: a special token's literal in a text gets the token's id, as the library does unless told
+    otherwise; else it is text like any other.  A text with such a literal is one unit and keeps its case,
+    as these tokens are matched before the rest is normalised and cut.
     """
 
-    _made: dict[tuple[str, bool], "Encoder"] = {}
+    _made: dict[tuple[str, bool, bool], "Encoder"] = {}
 
-    def __init__(self, path: str, words: bool):
+    def __init__(self, path: str, words: bool, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(path))
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = self.tokenizer.get_added_tokens_decoder().values() if special else []
+        self.literals = [LOWER[np.frombuffer(t.content.encode(), np.uint8)].tobytes() for t in added]
         self.words = words
         self.forget()
 
     @classmethod
-    def of(cls, path: str, words: bool) -> "Encoder":
-        if (path, words) not in cls._made:
-            cls._made[path, words] = cls(path, words)
-        return cls._made[path, words]
+    def of(cls, path: str, words: bool, special: bool = False) -> "Encoder":
+        if (path, words, special) not in cls._made:
+            cls._made[path, words, special] = cls(path, words, special)
+        return cls._made[path, words, special]
 
     def forget(self):
         self.known: dict[int, int] = {}
@@ -54,7 +60,7 @@ class Encoder:
         self.ids = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def units(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def units(self, data: np.ndarray, at: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
         cut = np.zeros(n + 1, bool)
         cut[at] = True
@@ -74,15 +80,29 @@ class Encoder:
             end = np.zeros(n, bool)
             end[:-1] = begin[1:]
             end |= cut[1:]
-        odd = self.odd_texts(data, at)
+        odd = np.union1d(self.odd_texts(data, at), whole)
         if len(odd):
-            inside = np.zeros(n + 1, np.int8)
-            inside[at[odd]] += 1
-            np.subtract.at(inside, at[odd + 1], 1)
-            inside = np.cumsum(inside)[:-1] > 0
+            inside = self.inside(odd, at)
             begin, end = np.where(inside, cut[:-1], begin), np.where(inside, cut[1:], end)
         return np.flatnonzero(begin), np.flatnonzero(end) + 1
 
+    @staticmethod
+    def inside(texts: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether a byte belongs to one of these texts."""
+        hit = np.zeros(len(at) - 1, bool)
+        hit[texts] = True
+        return np.repeat(hit, np.diff(at))
+
+    def special_texts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Numbers of the texts that hold a special token's literal in any case."""
+        found, raw = [], LOWER[data].tobytes() if self.literals else b""
+        for literal in self.literals:
+            place = raw.find(literal)
+            while place >= 0:
+                found.append(place)
+                place = raw.find(literal, place + 1)
+        return np.unique(np.searchsorted(at, np.array(found, np.int64), "right") - 1)
+
     @staticmethod
     def odd_texts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Numbers of the texts that hold white space beyond ASCII."""
@@ -115,9 +135,10 @@ class Encoder:
         """Ids of all texts end to end, and where each text's ids begin (one more at the end)."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+        whole = self.special_texts(data, at)
         if self.words:
-            data = LOWER[data]
-        begin, end = self.units(data, at)
+            data = np.where(self.inside(whole, at), data, LOWER[data]) if len(whole) else LOWER[data]
+        begin, end = self.units(data, at, whole)
         names, place, _ = unique_names(byte_prefix(data).names(begin, end - begin))
         if len(self.known) + len(names) > REMEMBERED:
             self.forget()

@@ -137,20 +137,21 @@ class WaveletMatrix:
 FILES = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("matrix", pa.binary())])
 
 
-def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, special: bool = False) -> DataFrame:
     """Encode all texts in ascending doc_id order and write them as shards; returns the written table.
 
     ``docs`` needs doc_id and text.  A row is one shard: part and shard (their order is the order of the
     documents), n_tokens, doc_ids, sizes (ids of each document with its end id) and matrix, a
     WaveletMatrix in bytes.  A null or empty text is the end id alone; null doc_ids come first; repeated
-    doc_ids keep a row each; a long text may make a shard larger than ``shard_tokens``.
+    doc_ids keep a row each; a long text may make a shard larger than ``shard_tokens``; ``special`` gives
+    literals of special tokens their ids.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
         part, shard = TaskContext.get().partitionId(), 0
-        encoder = Encoder.of(vocabulary, words=False)
+        encoder = Encoder.of(vocabulary, words=False, special=special)
         keys, sizes, rows, held = [], [], [], 0
         end = np.array([end_id], np.uint32)
 

@@ -108,3 +108,50 @@ def test_plan_uses_every_piece_once(counts):
         for x in lengths:
             used[x] += times
     assert used == Counter(counts)
+
+
+def loaded(name):
+    """The tokenizer as its file gives it."""
+    t = Tokenizer.from_file(tokenizer_path(name))
+    return lambda text: t.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name,words", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_special_literals_get_their_ids(name, words):
+    want, own = loaded(name), Encoder(name, words, special=True)
+
+    def check(texts):
+        got = []
+        for _, ids, begins in own.encode(pa.array(texts, pa.string())):
+            got += [ids[a:b].tolist() for a, b in zip(begins, begins[1:])]
+        assert got == [want(t) for t in texts]
+
+    check([t or "" for _, t, _ in AWKWARD])
+    assert want("<|endoftext|>") != plain(name)("<|endoftext|>")
+    piece = st.sampled_from(["<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|", "|>", "endoftext", "A", "b", "É", " ", "  ", "\n", "\u3000", "'S"])
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(st.lists(piece, max_size=9).map("".join), min_size=1, max_size=4))
+    def drawn(texts):
+        check(texts)
+
+    drawn()
+
+
+def test_queries_give_special_literals_their_ids(spark, tmp_path):
+    from corpus_pipeline import packing
+    from quotalens.llm.queries import QUERIES
+
+    texts = ["plain words first", "The End  <|endoftext|> x", "A<|ENDOFTEXT|>b", "more words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    want, start = [], 0
+    for d, t in enumerate(texts):
+        ids = [*loaded("byte_bpe_50k.json")(t), 2]
+        want.append((d, start, len(ids), crc(ids)))
+        start += len(ids)
+    assert sorted(rows_of(QUERIES["op6_wavelet_matrix"](spark, str(tmp_path)))) == want
+    want = [(d, crc([*loaded("word_bpe_49k.json")(t), 0])) for d, t in enumerate(texts)]
+    for out in (QUERIES["op10_best_fit_packing"](spark, str(tmp_path)), packing(spark, docs, "")):
+        assert sorted((r.doc_id, r.ids_crc32) for r in out.collect()) == want
