@@ -32,3 +32,11 @@ def saved(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def released(table: DataFrame) -> None:
+    """Delete a saved table that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {path.rpartition("/")[0] for path in table.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
