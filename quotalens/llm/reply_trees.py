@@ -82,28 +82,34 @@ def tree_paths(links: DataFrame, best_replies: int | None = None, paths_per_tree
         kept = _ranked(kept, ["tree", "up"], [F.col("units").desc(), F.col("node")], best_replies).drop("rank")
     kept = saved(kept, "kept")
 
-    # up: the ancestor 2^k messages above; rooted: a root lies among the messages passed
-    jumps = [saved(kept.select("tree", "node", "up", F.col("up").isNull().alias("rooted")), "jump-0")]
-    rounds = 1 + math.ceil(math.log2(max(2, links.count())))
-    while len(jumps) <= rounds and not jumps[-1].where("up IS NOT NULL AND NOT rooted").isEmpty():
+    # (tree, node, up): up is 2^k messages above; a message without such an ancestor is in no later table
+    jumps = [saved(kept.where("up IS NOT NULL").select("tree", "node", "up"), "jump-0")]
+    rounds = math.ceil(math.log2(max(2, links.count())))
+    while not (done := jumps[-1].isEmpty()) and len(jumps) <= rounds:
         here = jumps[-1]
-        there = here.select(F.col("tree").alias("of"), F.col("node").alias("mid"), F.col("up").alias("far"), F.col("rooted").alias("far_rooted"))
-        met = here.join(there, (here["tree"] == there["of"]) & (here["up"] == there["mid"]), "left")
-        further = met.select("tree", "node", F.col("far").alias("up"), (F.col("rooted") | F.coalesce("far_rooted", F.lit(False))).alias("rooted"))
-        jumps.append(saved(further, f"jump-{len(jumps)}"))
-
-    rooted = jumps[-1].where("rooted").select("tree", "node")
-    parents = kept.join(rooted, ["tree", "node"], "left_semi").where("up IS NOT NULL").select("tree", F.col("up").alias("node"))
-    leaves = rooted.join(parents, ["tree", "node"], "left_anti")
+        there = here.select(F.col("tree").alias("of"), F.col("node").alias("mid"), F.col("up").alias("far"))
+        further = here.join(there, (here["tree"] == there["of"]) & (here["up"] == there["mid"]))
+        jumps.append(saved(further.select("tree", "node", F.col("far").alias("up")), f"jump-{len(jumps)}"))
+
+    parents = kept.where("up IS NOT NULL").select("tree", F.col("up").alias("node"))
+    leaves = kept.select("tree", "node").join(parents, ["tree", "node"], "left_anti")
+    if done:
+        jumps.pop()
+    else:  # as many ancestors as messages: on or below a cycle
+        leaves = leaves.join(jumps[-1], ["tree", "node"], "left_anti")
     spread = saved(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above")), "spread")
     for k in reversed(range(len(jumps))):
-        step = jumps[k].where("up IS NOT NULL").select(F.col("tree").alias("of"), F.col("node").alias("mid"), "up")
+        step = jumps[k].select(F.col("tree").alias("of"), F.col("node").alias("mid"), "up")
         higher = spread.join(step, (spread["tree"] == step["of"]) & (spread["node"] == step["mid"]))
         wider = saved(spread.union(higher.select("tree", "leaf", F.col("up").alias("node"), F.col("above") + F.lit(1 << k))), "spread")
         released(spread)
         released(jumps[k])
         spread = wider
 
+    # a path counts from its root; one that ends below a reply that was not followed does not
+    if best_replies is not None:
+        roots = kept.where("up IS NULL").select("tree", "node")
+        spread = spread.join(spread.join(roots, ["tree", "node"], "left_semi").select("tree", "leaf"), ["tree", "leaf"], "left_semi")
     worth = spread.join(kept.select("tree", "node", "units"), ["tree", "node"]).groupBy("tree", "leaf").agg((F.sum("units") / F.count("*") * F.lit(SCORE_UNIT)).alias("score"))
     if paths_per_tree is None:
         from quotalens.operators.ranking import row_numbers
