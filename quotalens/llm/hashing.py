@@ -6,12 +6,16 @@ from two prefix sums; a finaliser spreads its bits.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LETTERS = np.random.default_rng(20240229).integers(1, 1 << 64, 256, dtype=np.uint64)
+#: From so many bytes on a stretch is named by a digest, as the polynomial gives some long regular strings one name.
+LONG = 128
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: ASCII white space: \x20 and \x09-\x0D.
@@ -88,9 +92,17 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begin, end, np.searchsorted(begin, at)
 
 
+def stretch_names(data: np.ndarray, begin: np.ndarray, end: np.ndarray, letters: Prefix | None = None) -> np.ndarray:
+    """A 64-bit name of each stretch of bytes of any length."""
+    names = (letters or byte_prefix(data)).names(begin, end - begin)
+    for i in np.flatnonzero(end - begin >= LONG):
+        names[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]], digest_size=8).digest(), "little")
+    return names
+
+
 def word_names(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word."""
-    return byte_prefix(data).names(begin, end - begin)
+    return stretch_names(data, begin, end)
 
 
 def slices(at: np.ndarray, limit: int):

@@ -18,13 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quotalens.llm.hashing import byte_prefix, mix, slices, text_bytes, unique_names
+from quotalens.llm.hashing import byte_prefix, mix, slices, stretch_names, text_bytes, unique_names
 from quotalens.llm.tokens import tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 SLICE_BYTES = 1 << 20
 SPACE_MARK = "▁"
 BYTE_RANK = 1 << 20
+#: Shares are whole numbers of so many bits; the rest of 64 holds a place in a slice.
+SHARE_BITS = 36
 
 
 class Pieces:
@@ -143,14 +145,15 @@ def _forward(frm: np.ndarray, to: np.ndarray, weight: np.ndarray, begin: np.ndar
         # an end that is the next unit's begin keeps its own sum in share alone
         total[ends] = np.where(reached, top + np.log(np.maximum(mass, 1e-300)), -np.inf)
         share[e] = scaled / np.repeat(np.where(mass > 0, mass, 1.0), counts)
-    running = np.concatenate([[0.0], np.cumsum(share)])
+    # whole numbers: what comes before an end cannot change the last bits of its shares
+    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum((share * (1 << SHARE_BITS)).astype(np.uint64))])
     return frm, to, running[1:] - np.repeat(running[first[:-1]], np.diff(first))[: len(to)], first, order
 
 
 def _draw(rows: np.ndarray, ordinal: np.ndarray, step: int) -> np.ndarray:
-    """Uniform numbers that depend on the row's key, the unit's number in its text and the step alone."""
+    """Uniform numbers of SHARE_BITS bits that depend on the row's key, the unit's number in its text and the step alone."""
     x = mix(rows ^ mix(ordinal.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step + 1)))
-    return (x >> np.uint64(11)).astype(np.float64) / (1 << 53)
+    return x >> np.uint64(64 - SHARE_BITS)
 
 
 class Sampler:
@@ -172,7 +175,7 @@ class Sampler:
         if not len(begin):
             return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
         end = np.append(begin[1:], len(spaced))
-        names, kind, _ = unique_names(byte_prefix(spaced).names(begin, end - begin))
+        names, kind, _ = unique_names(stretch_names(spaced, begin, end))
         one = np.zeros(len(names), np.int64)
         one[kind] = np.arange(len(kind))
         sizes = (end - begin)[one]
@@ -187,11 +190,11 @@ class Sampler:
         rows = mix(keys[owner].view(np.uint64) ^ self.seed)
         where, low = heads[kind] + sizes[kind], heads[kind]
         active, drawn = np.arange(len(begin)), []
-        key = to + share  # the end's number, and the cumulated share behind it
+        key = (to.astype(np.uint64) << np.uint64(SHARE_BITS)) + share  # the end's number, and the cumulated share behind it
         while len(active):
             stop = where[active]
             u = _draw(rows[active], ordinal[active], len(drawn))
-            e = np.clip(np.searchsorted(key, stop + u, "right"), first[stop], first[stop + 1] - 1)
+            e = np.clip(np.searchsorted(key, (stop.astype(np.uint64) << np.uint64(SHARE_BITS)) + u, "right"), first[stop], first[stop + 1] - 1)
             drawn.append((active, piece[e]))
             where[active] = frm[e]
             active = active[frm[e] > low[active]]

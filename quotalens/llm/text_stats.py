@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quotalens.llm.hashing import Prefix, SPACE, byte_prefix, mix, slices, text_bytes, word_names, word_spans
+from quotalens.llm.hashing import Prefix, SPACE, byte_prefix, mix, slices, stretch_names, text_bytes, word_spans
 
 SLICE_BYTES = 2 << 20
 COUNTS = (
@@ -44,7 +44,7 @@ def counts_of(data: np.ndarray, at: np.ndarray, window: int = 8) -> dict[str, np
     n_texts = len(at) - 1
     begin, end, first = word_spans(data, at)
     letters = byte_prefix(data)
-    words = letters.names(begin, end - begin)
+    words = stretch_names(data, begin, end, letters)
     owner = np.repeat(np.arange(n_texts), np.diff(first))
     out = {"n_bytes": np.diff(at), "n_words": np.diff(first)}
     out["word_chars"] = _per_text(((data & 0xC0) != 0x80) & ~SPACE[data], at)
@@ -57,7 +57,7 @@ def counts_of(data: np.ndarray, at: np.ndarray, window: int = 8) -> dict[str, np
     line_owner = np.repeat(np.arange(n_texts), _per_text(data == 10, at) + 1)
     with_word = np.searchsorted(begin, line_end) > np.searchsorted(begin, line_begin)
     line_begin, line_end, line_owner = line_begin[with_word], line_end[with_word], line_owner[with_word]
-    new = _first_seen(letters.names(line_begin, line_end - line_begin), line_owner)
+    new = _first_seen(stretch_names(data, line_begin, line_end, letters), line_owner)
     out["n_lines"] = np.bincount(line_owner, minlength=n_texts)
     out["n_dup_lines"] = np.bincount(line_owner[~new], minlength=n_texts)
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
+from itertools import chain, repeat
 
 import numpy as np
 
-from quotalens.llm.hashing import LOWER, SPACE, byte_prefix, slices, text_bytes, unique_names
+from quotalens.llm.hashing import LOWER, SPACE, slices, stretch_names, text_bytes, unique_names
 
 SLICE_BYTES = 2 << 20
 #: Words that a worker remembers; beyond that it starts anew.
@@ -44,6 +46,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = not special
         added = self.tokenizer.get_added_tokens_decoder().values() if special else []
         self.literals = [LOWER[np.frombuffer(t.content.encode(), np.uint8)].tobytes() for t in added]
+        #: What each literal begins with in any case.
+        self.marks = {re.match(rb"[^a-z]*", literal)[0] for literal in self.literals}
         self.words = words
         self.forget()
 
@@ -95,7 +99,10 @@ class Encoder:
 
     def special_texts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Numbers of the texts that hold a special token's literal in any case."""
-        found, raw = [], LOWER[data].tobytes() if self.literals else b""
+        found, raw = [], data.tobytes() if self.literals else b""
+        if not any(mark in raw for mark in self.marks):
+            return np.zeros(0, np.int64)
+        raw = LOWER[data].tobytes()
         for literal in self.literals:
             place = raw.find(literal)
             while place >= 0:
@@ -119,7 +126,7 @@ class Encoder:
     def learn(self, hashes: list[int], texts: list[str]):
         out = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, out), np.int64, len(out))
-        flat = np.fromiter((i for row in out for i in row), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(out), np.uint32, int(sizes.sum()))
         low = len(self.known)
         while low + len(out) > len(self.size):
             self.size, self.place = np.concatenate([self.size, np.zeros_like(self.size)]), np.concatenate([self.place, np.zeros_like(self.place)])
@@ -139,17 +146,19 @@ class Encoder:
         if self.words:
             data = np.where(self.inside(whole, at), data, LOWER[data]) if len(whole) else LOWER[data]
         begin, end = self.units(data, at, whole)
-        names, place, _ = unique_names(byte_prefix(data).names(begin, end - begin))
+        names, place, _ = unique_names(stretch_names(data, begin, end))
         if len(self.known) + len(names) > REMEMBERED:
             self.forget()
         some = np.zeros(len(names), np.int64)
         some[place] = np.arange(len(place))
         keys = names.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            raw = data.tobytes()
-            self.learn([keys[i] for i in new], [raw[begin[j] : end[j]].decode() for j in some[new]])
-        row = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[place]
+        row = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            raw, rows = data.tobytes(), some[new]
+            row[new] = len(self.known) + np.arange(len(new))
+            self.learn(names[new].tolist(), [raw[a:b].decode() for a, b in zip(begin[rows].tolist(), end[rows].tolist())])
+        row = row[place]
         sizes = self.size[row].astype(np.int64)
         to = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.ids[np.repeat(self.place[row] - to[:-1], sizes) + np.arange(to[-1])]

@@ -32,12 +32,16 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray) -> "WaveletMatrix":
         row = ids.astype(np.uint32 if len(ids) and ids.max() > 0xFFFF else np.uint16)
+        below = np.empty_like(row)
         planes, ones = [], []
         for bit in reversed(range(int(row.max()).bit_length() if len(row) else 0)):
-            on = (row >> np.array(bit, row.dtype) & np.array(1, row.dtype)).astype(bool)
+            on = (row & row.dtype.type(1 << bit)) != 0
             planes.append(np.packbits(on, bitorder="little"))
             ones.append(cls._directory(planes[-1]))
-            row = np.concatenate([row[~on], row[on]])
+            zeros = len(row) - int(ones[-1][-1])
+            np.compress(~on, row, out=below[:zeros])
+            np.compress(on, row, out=below[zeros:])
+            row, below = below, row
         return cls(len(ids), planes, ones)
 
     @staticmethod
@@ -153,20 +157,23 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
         part, shard = TaskContext.get().partitionId(), 0
         encoder = Encoder.of(vocabulary, words=False, special=special)
         keys, sizes, rows, held = [], [], [], 0
-        end = np.array([end_id], np.uint32)
 
         def flush():
-            row = [part, shard, held, keys, sizes, WaveletMatrix.build(np.concatenate(rows)).to_bytes()]
+            row = [part, shard, held, keys, np.concatenate(sizes), WaveletMatrix.build(np.concatenate(rows)).to_bytes()]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, FILES)], schema=FILES)
 
         for batch in batches:
             ids_of = batch.column("doc_id").to_pylist()
             for low, ids, begins in encoder.encode(batch.column("text")):
-                for i, (a, b) in enumerate(zip(begins[:-1], begins[1:])):
-                    keys.append(ids_of[low + i])
-                    sizes.append(b - a + 1)
-                    rows += [ids[a:b], end]
-                    held += b - a + 1
+                ids, count, done = np.insert(ids, begins[1:], np.uint32(end_id)), np.diff(begins) + 1, 0
+                to = np.concatenate([[0], np.cumsum(count)])
+                while done < len(count):  # up to the document that fills the shard
+                    upto = min(len(count), int(np.searchsorted(to, to[done] + shard_tokens - held)))
+                    keys += ids_of[low + done : low + upto]
+                    sizes.append(count[done:upto])
+                    rows.append(ids[to[done] : to[upto]])
+                    held += int(to[upto] - to[done])
+                    done = upto
                     if held >= shard_tokens:
                         yield flush()
                         shard += 1
@@ -175,7 +182,8 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
             yield flush()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, null too, are told apart by a hash, so that many of them do not meet in one range
+    dealt = texts.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     return saved(dealt.mapInArrow(run, "part int, shard int, n_tokens long, doc_ids array<long>, sizes array<long>, matrix binary"), "wavelet", "zstd")
 
 
