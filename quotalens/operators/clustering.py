@@ -1,8 +1,7 @@
-"""K-Means segmentation, exact block-wise neighbours, DBSCAN and clustering quality.
+"""K-Means segmentation, exact neighbours, DBSCAN and clustering quality.
 
-Neighbour work never pairs rows in a table: rows are grouped into bounded blocks around pivots,
-block pairs that cannot contain a neighbour are dropped by the triangle inequality, and each
-remaining pair of blocks is one small numpy task that returns at most one short result per row.
+Neighbour work never pairs rows in a table: it descends a metric tree, and each pair of leaves that the bounds
+leave is one small numpy task that returns a short result per row.
 """
 
 from __future__ import annotations
@@ -18,8 +17,9 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quotalens.operators.metric_tree import LEAF_ROWS, MetricTree, Queries, build_tree, distances as _distances, kth_distances, near_leaves, own_queries, route, visit
 from quotalens.operators.metrics import adjusted_rand, ecdf_score, minmax
-from quotalens.operators.ranking import best_row, quantiles, top_n_per_group
+from quotalens.operators.ranking import best_row, quantiles
 from quotalens.session import checkpointed
 
 # --- K-Means --------------------------------------------------------------------------------
@@ -67,98 +67,23 @@ def distance_score(df: DataFrame, train: DataFrame, distance: str = "distance",
     return ecdf_score(df, train, [], distance, out)
 
 
-# --- blocks ---------------------------------------------------------------------------------
-
-
-@dataclass
-class Blocks:
-    """Rows with their block, the block radii, and how far apart the pivots are."""
-    rows: DataFrame
-    radii: DataFrame
-    gaps: DataFrame
-    row_id: str
-    vector: str
-
-
-def make_blocks(df: DataFrame, row_id: str, vector: str, pivots: int = 32, block_rows: int = 4096) -> Blocks:
-    """Cells around hash-chosen pivots, each cut into sub-blocks of bounded size by a hash of the id."""
-    spark = df.sparkSession
-    chosen = df.orderBy(F.xxhash64(row_id), row_id).limit(pivots).select(vector).collect()  # a bounded number of vectors
-    points = np.array([r[0] for r in chosen], dtype=float)
-
-    @F.pandas_udf("cell int, reach double")
-    def nearest(v: pd.Series) -> pd.DataFrame:
-        if not len(v):
-            return pd.DataFrame({"cell": pd.Series([], dtype="int32"), "reach": pd.Series([], dtype="float64")})
-        x = np.stack(v.to_numpy()).astype(float)
-        d = np.sqrt(np.maximum(((x[:, None, :] - points[None]) ** 2).sum(2), 0))
-        return pd.DataFrame({"cell": d.argmin(1).astype("int32"), "reach": d.min(1)})
-
-    cells = df.select(row_id, vector, nearest(vector).alias("_n")).select(row_id, vector, F.col("_n.cell").alias("cell"), F.col("_n.reach").alias("reach"))
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("_size"))
-    cut = cells.join(sizes, ["cell"]).withColumn("sub", F.pmod(F.xxhash64(F.lit("block"), row_id), F.ceil(F.col("_size") / block_rows)).cast("int"))
-    cut = checkpointed(cut.withColumn("block", F.concat_ws(":", "cell", "sub")).drop("_size", "sub"))
-    radii = cut.groupBy("block", "cell").agg(F.max("reach").alias("radius"))
-    far = np.sqrt(np.maximum(((points[:, None, :] - points[None]) ** 2).sum(2), 0))
-    gaps = spark.createDataFrame([(i, j, float(far[i, j])) for i in range(len(points)) for j in range(len(points))], "cell int, other_cell int, gap double")
-    return Blocks(cut, radii, gaps, row_id, vector)
-
-
-def _pairs(left: Blocks, right: Blocks, reach: Column, bounds: DataFrame | None = None) -> DataFrame:
-    """Block pairs that may hold rows within ``reach`` of each other."""
-    a = left.radii.select("block", "cell", "radius")
-    if bounds is not None:
-        a = a.join(bounds, ["block"])
-    b = right.radii.select(F.col("block").alias("other"), F.col("cell").alias("other_cell"), F.col("radius").alias("other_radius"))
-    near = a.join(left.gaps, ["cell"]).join(b, ["other_cell"])
-    return near.filter(F.col("gap") - F.col("radius") - F.col("other_radius") <= reach * (1 + 1e-9) + 1e-9).select("block", "other")
-
-
-def _visit(left: DataFrame, right: DataFrame, pairs: DataFrame, work, schema: str) -> DataFrame:
-    """Run ``work`` on every pair of blocks; both sides of a task are bounded by the block size."""
-    a = left.join(pairs, ["block"])
-    b = right.withColumnRenamed("block", "other").join(pairs, ["other"])
-    # Fresh column ids on both sides: the two often come from the same table.
-    a, b = (side.select(*[F.col(c).alias(c) for c in side.columns]).groupBy("block", "other") for side in (a, b))
-    return a.cogroup(b).applyInPandas(work, schema)
-
-
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean distances, a slice of rows at a time so memory stays small."""
-    out = np.empty((len(x), len(y)))
-    step = max(1, int(4e6 // max(1, y.size)))
-    for s in range(0, len(x), step):
-        out[s:s + step] = np.sqrt(((x[s:s + step, None, :] - y[None]) ** 2).sum(2))
-    return out
+# --- neighbours -----------------------------------------------------------------------------
 
 
 def _types(df: DataFrame, c: str) -> str:
     return dict(df.dtypes)[c]
 
 
-def kth_neighbor_distance(df: DataFrame, row_id: str, k: int, vector: str = "vector", pivots: int = 32, block_rows: int = 4096) -> DataFrame:
+def kth_neighbor_distance(df: DataFrame, row_id: str, k: int, vector: str = "vector", leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(row_id, distance): Euclidean distance to the k-th nearest row, counting the row itself as the first."""
-    blocks = make_blocks(df, row_id, vector, pivots, block_rows)
-    kind = _types(df, row_id)
-
-    def nearest(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({row_id: [], "neighbor": [], "distance": []})
-        d = _distances(np.stack(a[vector].to_numpy()).astype(float), np.stack(b[vector].to_numpy()).astype(float))
-        n = min(k, d.shape[1])
-        best = np.argpartition(d, n - 1, axis=1)[:, :n]
-        return pd.DataFrame({row_id: np.repeat(a[row_id].to_numpy(), n), "neighbor": b[row_id].to_numpy()[best.ravel()], "distance": np.take_along_axis(d, best, 1).ravel()})
-
-    schema = f"{row_id} {kind}, neighbor {kind}, distance double"
-    own = blocks.radii.select("block", F.col("block").alias("other"))
-    data = blocks.rows.select("block", row_id, vector)
-    first = _visit(data, data, own, nearest, schema)
-    # A row's k-th distance inside its own block bounds how far the search has to go.
-    kth = first.groupBy(row_id).agg(F.max("distance").alias("_d"), F.count(F.lit(1)).alias("_n"))
-    bound = blocks.rows.join(kth, [row_id]).groupBy("block").agg(F.max(F.when(F.col("_n") >= k, F.col("_d")).otherwise(float("inf"))).alias("_bound"))
-    found = _visit(data, data, checkpointed(_pairs(blocks, blocks, F.col("_bound"), bound)), nearest, schema)
-    best = top_n_per_group(found, [row_id], [F.col("distance"), F.col("neighbor")], k)
-    return best.groupBy(row_id).agg(F.max("distance").alias("distance"))
+    tree = build_tree(df, row_id, vector, leaf_rows)
+    return tree.per_row(kth_distances(tree, own_queries(tree), k, _types(df, row_id))[0]).select(row_id, "distance")
+
+
+def neighbor_work(df: DataFrame, row_id: str, k: int, vector: str = "vector", leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """What :func:`kth_neighbor_distance` measures (one row): leaves, leaf pairs, vector pairs and their share of all pairs."""
+    tree = build_tree(df, row_id, vector, leaf_rows)
+    return kth_distances(tree, own_queries(tree), k, _types(df, row_id))[1]
 
 
 def k_distance_quantiles(df: DataFrame, row_id: str, k: int, probabilities: Sequence[float], vector: str = "vector") -> DataFrame:
@@ -188,70 +113,128 @@ def min_label_components(edges: DataFrame) -> DataFrame:
         labels = fresh.select("node", "label")
 
 
-def dbscan(df: DataFrame, row_id: str, eps: float, min_samples: int, vector: str = "vector", pivots: int = 32, block_rows: int = 4096) -> DataFrame:
-    """(row_id, label, core): label is the smallest core id of the cluster, null for noise.
+def _above(node: str) -> Column:
+    """A node and all nodes above it, from the root."""
+    parts = F.split(node, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("level"), F.array_join(F.slice(parts, 1, n), ".").alias("node")))
 
-    Border rows take the cluster of their nearest core row within eps.
-    """
-    blocks = make_blocks(df, row_id, vector, pivots, block_rows)
-    kind = _types(df, row_id)
-    pairs = checkpointed(_pairs(blocks, blocks, F.lit(float(eps))))
-    data = blocks.rows.select("block", row_id, vector)
-    mat = lambda f: np.stack(f[vector].to_numpy()).astype(float)
-
-    def count(_, a, b):
-        if not len(a) or not len(b):
-            return pd.DataFrame({row_id: [], "n": []})
-        return pd.DataFrame({row_id: a[row_id].to_numpy(), "n": (_distances(mat(a), mat(b)) <= eps).sum(1)})
-
-    counts = _visit(data, data, pairs, count, f"{row_id} {kind}, n long").groupBy(row_id).agg(F.sum("n").alias("n"))
-    cores = checkpointed(data.join(counts.filter(F.col("n") >= min_samples), [row_id], "left_semi"))
-
-    def link(_, a, b):
-        """Each core row with the smallest core row it can reach inside the two blocks, one hop at a time."""
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": []})
-        ids = np.concatenate([a[row_id].to_numpy(), b[row_id].to_numpy()])
-        near = _distances(mat(a), mat(b)) <= eps
-        la, lb = a[row_id].to_numpy().copy(), b[row_id].to_numpy().copy()
-        while True:
-            na = np.minimum(la, np.where(near, lb[None, :], la.max() if len(la) else 0).min(1))
-            nb = np.minimum(lb, np.where(near, na[:, None], lb.max()).min(0))
-            na, nb = np.where(near.any(1), na, la), np.where(near.any(0), nb, lb)
-            if (na == la).all() and (nb == lb).all():
-                break
-            la, lb = na, nb
-        return pd.DataFrame({"a": ids, "b": np.concatenate([la, lb])})
-
-    edges = _visit(cores, cores, pairs, link, f"a {kind}, b {kind}").distinct()
-    components = min_label_components(edges).withColumnRenamed("node", row_id)
-    labelled = cores.join(components, [row_id])
-    out = df.select(row_id).join(components.withColumn("core", F.lit(True)), [row_id], "left")
-    rest = data.join(components, [row_id], "left_anti")
-    border = _nearest(rest, labelled, pairs, row_id, kind, vector, eps)
-    return out.join(border.withColumnRenamed("label", "_border"), [row_id], "left").select(
-        row_id, F.coalesce("label", "_border").alias("label"), F.coalesce("core", F.lit(False)).alias("core"))
-
-
-def _nearest(probes: DataFrame, cores: DataFrame, pairs: DataFrame, row_id: str, kind: str, vector: str, eps: float) -> DataFrame:
-    """(row_id, label) of the nearest core row within eps."""
-    def nearest(_, a, b):
-        if not len(a) or not len(b):
-            return pd.DataFrame({row_id: [], "label": [], "distance": [], "other_id": []})
-        d = _distances(np.stack(a[vector].to_numpy()).astype(float), np.stack(b[vector].to_numpy()).astype(float))
-        b_order = b[row_id].to_numpy().argsort(kind="stable")
-        i = b_order[d[:, b_order].argmin(1)]
-        best = d[np.arange(len(a)), i]
+
+def _linked(ids, others, _, d, __, eps: float) -> dict:
+    """Each core row with the smallest core row it can reach inside the two blocks, one hop at a time."""
+    near = d <= eps
+    la, lb = ids.copy(), others.copy()
+    while True:
+        na = np.where(near.any(1), np.minimum(la, np.where(near, lb[None, :], la.max()).min(1)), la)
+        nb = np.where(near.any(0), np.minimum(lb, np.where(near, na[:, None], lb.max()).min(0)), lb)
+        if (na == la).all() and (nb == lb).all():
+            return {"a": np.concatenate([ids, others]), "b": np.concatenate([la, lb])}
+        la, lb = na, nb
+
+
+def _nearest_core(tree: MetricTree, queries: Queries, pairs: DataFrame, cores: DataFrame, kind: str, eps: float) -> DataFrame:
+    """(id, label) of the nearest core row (node, id, vector, weight, label) within eps; of equal distances the smallest id."""
+    def nearest(ids, others, _, d, right):
+        i = d.argmin(1)
+        best = d[np.arange(len(ids)), i]
         ok = best <= eps
-        return pd.DataFrame({row_id: a[row_id].to_numpy()[ok], "label": b["label"].to_numpy()[i][ok], "distance": best[ok], "other_id": b[row_id].to_numpy()[i][ok]})
+        return {"id": ids[ok], "label": right["label"].to_numpy()[i][ok], "distance": best[ok], "other": others[i][ok]}
 
-    found = _visit(probes.select("block", row_id, vector), cores.select("block", row_id, vector, "label"), pairs, nearest, f"{row_id} {kind}, label {kind}, distance double, other_id {kind}")
-    return best_row(found, [row_id], [F.col("distance"), F.col("other_id")]).select(row_id, "label")
+    own = _types(cores, "id")
+    found = visit(tree, queries, pairs, nearest, f"id {kind}, label {own}, distance double, other {own}", cores)
+    return best_row(found, ["id"], [F.col("distance"), F.col("other")]).select("id", "label")
 
 
-def dbscan_scores(labels: DataFrame, distances: DataFrame, row_id: str) -> DataFrame:
-    """Rank score: noise in [0.75, 1], members in [0, 0.75], by the share of k-distances at or below."""
-    ranked = ecdf_score(distances, distances, [], "distance", "_base").join(labels, [row_id])
+@dataclass
+class DbscanModel:
+    """A fitted DBSCAN: ``labels`` (row_id, label, core; label is the smallest core id of the cluster, null for noise), the tree of
+    the fitted rows and that of the core rows alone (None without one)."""
+
+    eps: float
+    min_samples: int
+    row_id: str
+    labels: DataFrame
+    tree: MetricTree
+    core_tree: MetricTree | None
+    core_labels: DataFrame
+    leaf_rows: int = LEAF_ROWS
+
+    def predict(self, df: DataFrame, row_id: str, vector: str = "vector") -> DataFrame:
+        """(row_id, label): the cluster of the nearest core row within eps, null for noise."""
+        own = _types(self.core_labels, "id")
+        if self.core_tree is None:
+            return df.select(row_id, F.lit(None).cast(own).alias("label"))
+        tree = self.core_tree
+        queries = route(tree, df, row_id, vector, self.leaf_rows)
+        pairs, _ = near_leaves(tree, queries.blocks.withColumn("bound", F.lit(float(self.eps))))
+        cores = tree.rows.join(self.core_labels, ["id"])
+        found = _nearest_core(tree, queries, pairs, cores, _types(df, row_id), self.eps)
+        return df.select(row_id).join(found.withColumnRenamed("id", row_id), [row_id], "left")
+
+    def neighbor_count(self) -> int:
+        """Which neighbour's distance is scored: the min_samples-th, the second at least."""
+        return max(2, self.min_samples)
+
+    def curve(self) -> DataFrame:
+        """(row_id, distance) of the fitted rows, the reference of all scores."""
+        return self.tree.per_row(kth_distances(self.tree, own_queries(self.tree), self.neighbor_count(), _types(self.labels, self.row_id))[0]).select(self.row_id, "distance")
+
+    def distances(self, df: DataFrame, row_id: str, vector: str = "vector") -> DataFrame:
+        """(row_id, distance) from new rows to their k-th nearest fitted row."""
+        queries = route(self.tree, df, row_id, vector, self.leaf_rows)
+        return kth_distances(self.tree, queries, self.neighbor_count(), _types(df, row_id))[0].select(F.col("id").alias(row_id), "distance")
+
+    def score(self, df: DataFrame, curve: DataFrame, row_id: str, vector: str = "vector") -> DataFrame:
+        """(row_id, label, anomaly_score, raw_score) of new rows against the stored curve."""
+        labels = self.predict(df, row_id, vector)
+        return dbscan_scores(labels, self.distances(df, row_id, vector), row_id, curve).join(labels, [row_id]).select(row_id, "label", "anomaly_score", "raw_score")
+
+
+def fit_dbscan(df: DataFrame, row_id: str, eps: float, min_samples: int, vector: str = "vector", leaf_rows: int = LEAF_ROWS) -> DbscanModel:
+    """DBSCAN of all rows with a vector.  Border rows take the cluster of their nearest core row within eps.
+
+    Blocks and nodes that lie within eps of each other altogether are counted and linked without measuring rows.
+    """
+    eps = float(eps)
+    tree = build_tree(df, row_id, vector, leaf_rows)
+    own, kind = own_queries(tree), _types(df, row_id)
+    pairs, inside = near_leaves(tree, own.blocks.withColumn("bound", F.lit(eps)), F.lit(eps))
+
+    measured = visit(tree, own, pairs, lambda ids, _, weights, d, __: {"id": ids, "n": ((d <= eps) * weights).sum(1)}, f"id {kind}, n long")
+    whole = inside.join(tree.nodes.select("node", "weight"), ["node"]).groupBy("block").agg(F.sum("weight").alias("n"))
+    counts = measured.unionByName(own.rows.join(whole, ["block"]).select("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
+    cores = checkpointed(tree.rows.join(counts.filter(F.col("n") >= min_samples), ["id"], "left_semi"))
+
+    # blocks with a core row beside a node with one, all within eps: everything in both is one cluster
+    above = cores.select("id", F.inline(_above("node")))
+    least = checkpointed(above.groupBy("node").agg(F.min("id").alias("least")))
+    touching = inside.join(least, ["node"]).join(least.select(F.col("node").alias("block"), F.col("least").alias("_own")), ["block"])
+    one = checkpointed(touching.select("node").unionByName(touching.select(F.col("block").alias("node"))).distinct())
+    top = above.join(one, ["node"]).groupBy("id").agg(F.min_by("node", "level").alias("node")).join(least, ["node"])
+    edges = touching.select(F.col("_own").alias("a"), F.col("least").alias("b")).unionByName(top.select(F.col("id").alias("a"), F.col("least").alias("b")))
+    core_queries = Queries(own.blocks, cores.select(F.col("node").alias("block"), "id", "vector"))
+    edges = edges.unionByName(visit(tree, core_queries, pairs, lambda *x: _linked(*x, eps), f"a {kind}, b {kind}", cores)).distinct()
+    core_labels = checkpointed(min_label_components(edges).select(F.col("node").alias("id"), "label"))
+
+    # a row that is no core has few rows within eps, so few nodes lie inside its reach altogether
+    rest = own.rows.join(core_labels, ["id"], "left_anti")
+    leaves = cores.select(F.col("node").alias("_leaf")).distinct().select("_leaf", F.inline(_above("_leaf"))).drop("level")
+    inside_leaves = inside.join(rest.select("block").distinct(), ["block"], "left_semi").join(leaves, ["node"]).select("block", F.col("_leaf").alias("node"))
+    border = _nearest_core(tree, Queries(own.blocks, rest), pairs.unionByName(inside_leaves).distinct(), cores.join(core_labels, ["id"]), kind, eps)
+    known = core_labels.withColumn("core", F.lit(True)).unionByName(border.withColumn("core", F.lit(False)))
+    labels = df.select(row_id).join(tree.per_row(known), [row_id], "left").select(row_id, "label", F.coalesce("core", F.lit(False)).alias("core"))
+    core_rows = cores.select("id", "vector")
+    core_tree = None if cores.isEmpty() else build_tree(core_rows, "id", "vector", leaf_rows)
+    return DbscanModel(eps, min_samples, row_id, checkpointed(labels), tree, core_tree, core_labels, leaf_rows)
+
+
+def dbscan(df: DataFrame, row_id: str, eps: float, min_samples: int, vector: str = "vector", leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """(row_id, label, core) of :func:`fit_dbscan`."""
+    return fit_dbscan(df, row_id, eps, min_samples, vector, leaf_rows).labels
+
+
+def dbscan_scores(labels: DataFrame, distances: DataFrame, row_id: str, reference: DataFrame | None = None) -> DataFrame:
+    """Rank score: noise in [0.75, 1], members in [0, 0.75], by the share of the reference's k-distances at or below."""
+    ranked = ecdf_score(distances, distances if reference is None else reference, [], "distance", "_base").join(labels, [row_id])
     noise = F.col("label").isNull()
     return ranked.select(row_id, F.when(noise, 0.75 + 0.25 * F.col("_base")).otherwise(0.75 * F.col("_base")).alias("anomaly_score"),
                          (F.when(noise, 0.75).otherwise(0.0) + 0.25 * F.col("distance") / (1 + F.col("distance"))).alias("raw_score"))

@@ -101,7 +101,7 @@ def kmeans_grid_search(spark, sf):
 , d AS (SELECT a.vec_id, list_distance(a.v, b.v) AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS r FROM e a CROSS JOIN e b)
 SELECT vec_id, distance FROM d WHERE r = 8""", floats="distance")
 def kth_neighbor_distance(spark, sf):
-    return K.kth_neighbor_distance(vectors(spark, sf), "vec_id", 8, pivots=8, block_rows=128)
+    return K.kth_neighbor_distance(vectors(spark, sf), "vec_id", 8, leaf_rows=128)
 
 
 @query("eps_candidates", _EMB + """
@@ -122,7 +122,7 @@ _DB = _EMB + f"""
 
 @query("dbscan_labels", _DB + " SELECT vec_id, label, core FROM lab")
 def dbscan_labels(spark, sf):
-    return K.dbscan(vectors(spark, sf).drop("label"), "vec_id", EPS, 5, pivots=8, block_rows=128)
+    return K.dbscan(vectors(spark, sf).drop("label"), "vec_id", EPS, 5, leaf_rows=128)
 
 
 @query("dbscan_scores", _DB + """
@@ -135,6 +135,37 @@ def dbscan_scores(spark, sf):
     return K.dbscan_scores(K.dbscan(v, "vec_id", EPS, 5), checkpointed(K.kth_neighbor_distance(v, "vec_id", 5)), "vec_id")
 
 
+#: Rep-months are told apart at this distance; fitted up to 1999, later months are new rows.
+NEW_EPS, NEW_LEAST = 0.3, 6
+_NEW = _PRE + f"""
+, z AS (SELECT rep_id * 1000000 + year(period) * 100 + month(period) AS row_id, period <= DATE '1999-12-01' AS fitted, [(least(greatest(a, al), ah) - am) / ai, (least(greatest(b, bl), bh) - bm) / bi, (least(greatest(c, cl), ch) - cm) / ci] AS v FROM x CROSS JOIN q)
+, f AS (SELECT * FROM z WHERE fitted), p AS (SELECT * FROM z WHERE NOT fitted)
+, n AS (SELECT a.row_id AS a, b.row_id AS b, list_distance(a.v, b.v) AS d FROM f a CROSS JOIN f b WHERE list_distance(a.v, b.v) <= {NEW_EPS}), core AS (SELECT a FROM n GROUP BY a HAVING count(*) >= {NEW_LEAST})
+, ce AS (SELECT a, b FROM n SEMI JOIN core ON n.a = core.a WHERE b IN (SELECT a FROM core))
+, reach AS (WITH RECURSIVE r(a, l) AS (SELECT a, a FROM core UNION SELECT ce.b, min(r.l) FROM r JOIN ce ON r.a = ce.a GROUP BY ce.b) SELECT a, min(l) AS label FROM r GROUP BY a)
+, near AS (SELECT p.row_id, arg_min(reach.label, {{'d': list_distance(p.v, f.v), 'id': f.row_id}}) AS label, min(list_distance(p.v, f.v)) AS d FROM p CROSS JOIN f JOIN reach ON reach.a = f.row_id GROUP BY 1)
+, lab AS (SELECT p.row_id, CASE WHEN near.d <= {NEW_EPS} THEN near.label END AS label FROM p LEFT JOIN near USING (row_id))
+, kf AS (SELECT a.row_id, list_sort(list(list_distance(a.v, b.v)))[{NEW_LEAST}] AS distance FROM f a CROSS JOIN f b GROUP BY 1), cdf AS (SELECT distance, cume_dist() OVER (ORDER BY distance) AS base FROM kf)
+, kp AS (SELECT p.row_id, list_sort(list(list_distance(p.v, f.v)))[{NEW_LEAST}] AS distance FROM p CROSS JOIN f GROUP BY 1)
+, sc AS (SELECT kp.row_id, kp.distance, coalesce((SELECT max(base) FROM cdf WHERE cdf.distance <= kp.distance), 0) AS base FROM kp)
+SELECT sc.row_id, label, CASE WHEN label IS NULL THEN 0.75 + 0.25 * base ELSE 0.75 * base END AS anomaly_score, CASE WHEN label IS NULL THEN 0.75 ELSE 0 END + 0.25 * distance / (1 + distance) AS raw_score FROM sc JOIN lab USING (row_id)"""
+
+
+def fitted_and_new(spark, sf):
+    """Prepared rep-months up to 1999, and the later ones."""
+    d, p = prepared(spark, sf)
+    v = checkpointed(p.transform(d).withColumn("row_id", F.col("rep_id") * 1000000 + F.year("period") * 100 + F.month("period")).select("row_id", "period", "vector"))
+    old = F.col("period") <= F.to_date(F.lit("1999-12-01"))
+    return v.filter(old), v.filter(~old)
+
+
+@query("dbscan_new_rows", _NEW, floats="anomaly_score raw_score")
+def dbscan_new_rows(spark, sf):
+    fitted, new = fitted_and_new(spark, sf)
+    model = K.fit_dbscan(fitted, "row_id", NEW_EPS, NEW_LEAST)
+    return model.score(new, checkpointed(model.curve()), "row_id")
+
+
 @query("dbscan_grid_search")
 def dbscan_grid_search(spark, sf):
     return K.tune_dbscan(checkpointed(vectors(spark, sf).drop("label")), "vec_id", [5], [0.7, 0.9])[0].drop("runtime_seconds")

@@ -12,7 +12,7 @@ def cloud(spark, n=400, seed=3):
 def test_neighbour_distance_equals_brute_force_over_many_blocks(spark):
     x, df = cloud(spark)
     want = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 1)[:, 4]
-    got = K.kth_neighbor_distance(df, "id", 5, pivots=6, block_rows=40).orderBy("id").toPandas()
+    got = K.kth_neighbor_distance(df, "id", 5, leaf_rows=40).orderBy("id").toPandas()
     assert np.allclose(got.distance, want)
 
 
@@ -30,7 +30,7 @@ def test_dbscan_equals_brute_force(spark):
     d = np.where(core[None], np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), np.inf)
     border = ~core & (d.min(1) <= eps)
     label = np.where(border, label[d.argmin(1)], label)
-    got = K.dbscan(df, "id", eps, least, pivots=6, block_rows=40).orderBy("id").toPandas()
+    got = K.dbscan(df, "id", eps, least, leaf_rows=40).orderBy("id").toPandas()
     assert (got.core.to_numpy() == core).all()
     assert (got.label.fillna(10**6).astype(int).to_numpy() == label).all()
 
@@ -62,3 +62,57 @@ def test_constant_feature_keeps_scale_one(spark):
     assert out[0]["vector"] == [0.0, 3.0] and out[1]["vector"] == [0.0, 0.0]
     again = PP.Preprocessor.from_table(p.to_table(spark))
     assert again.parameters == p.parameters and again.features == ["a", "b"]
+
+
+def by_hand(x, eps, least):
+    """Labels (10**6: noise) and core flags."""
+    gaps = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    core = (gaps <= eps).sum(1) >= least
+    label = np.where(core, np.arange(len(x)), 10**6)
+    while True:
+        new = np.where(core, np.where((gaps <= eps) & core[None], label[None], 10**6).min(1), 10**6)
+        if (new == label).all():
+            break
+        label = new
+    d = np.where(core[None], gaps, np.inf)
+    return np.where(~core & (d.min(1) <= eps), label[d.argmin(1)], label), core
+
+
+def test_copies_are_one_weighted_vector_and_whole_nodes_are_not_measured(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.tile([[1.0, 1.0]], (300, 1)), rng.normal(0, .02, (200, 2)), rng.normal((3, 0), .02, (150, 2)), rng.uniform(-4, 6, (40, 2))])
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, vector array<double>")
+    want = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 1)
+    for k in (4, 310):
+        got = K.kth_neighbor_distance(df, "id", k, leaf_rows=60).orderBy("id").toPandas()
+        assert np.allclose(got.distance, want[:, k - 1])
+    assert np.allclose(K.kth_neighbor_distance(df, "id", 5000, leaf_rows=400).orderBy("id").toPandas().distance, want[:, -1])
+    for eps, least in ((.5, 5), (1e-6, 250)):
+        label, core = by_hand(x, eps, least)
+        got = K.dbscan(df, "id", eps, least, leaf_rows=60).orderBy("id").toPandas()
+        assert (got.core.to_numpy() == core).all()
+        assert (got.label.fillna(10**6).astype(int).to_numpy() == label).all()
+    work = K.neighbor_work(df, "id", 4, leaf_rows=60).first()
+    assert work.share < 0.5 and work.measured > 0
+
+
+def test_new_rows_take_the_nearest_core(spark):
+    x, df = cloud(spark, 240)
+    fit, new = x[::2], x[1::2]
+    eps, least = .6, 6
+    label, core = by_hand(fit, eps, least)
+    gaps = np.sqrt(((new[:, None] - fit[None]) ** 2).sum(2))
+    near = np.where(core[None], gaps, np.inf)
+    want = np.where(near.min(1) <= eps, 2 * label[near.argmin(1)], -1)
+    curve = np.sort(np.sort(np.sqrt(((fit[:, None] - fit[None]) ** 2).sum(2)), 1)[:, least - 1])
+    d = np.sort(gaps, 1)[:, least - 1]
+    base = np.searchsorted(curve, d, "right") / len(curve)
+    model = K.fit_dbscan(df.filter("id % 2 = 0"), "id", eps, least, leaf_rows=40)
+    rows = df.filter("id % 2 = 1").withColumnRenamed("id", "row").unionByName(spark.createDataFrame([(99999, None)], "row long, vector array<double>"))
+    got = model.score(rows.filter("vector IS NOT NULL"), model.curve(), "row").orderBy("row").toPandas()
+    assert (got.label.fillna(-1).astype(int).to_numpy() == want).all()
+    assert np.allclose(got.anomaly_score, np.where(want < 0, .75 + .25 * base, .75 * base))
+    assert np.allclose(got.raw_score, np.where(want < 0, .75, 0) + .25 * d / (1 + d))
+    assert model.predict(rows, "row").filter("row = 99999").first().label is None
+    nothing = K.fit_dbscan(df.filter("id < 4"), "id", 1e-9, 3)
+    assert nothing.core_tree is None and {r.label for r in nothing.predict(rows, "row").collect()} == {None}
