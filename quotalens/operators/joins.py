@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quotalens.functions import month_start, stable_integer
-from quotalens.operators.ranking import in_buckets, null_safe_join, row_numbers, with_scalars
+from quotalens.operators.ranking import in_ranges, null_safe_join, row_numbers, with_scalars
 
 
 def unique_or_fail(df: DataFrame, keys: Sequence[str], label: str = "table") -> DataFrame:
@@ -158,7 +158,7 @@ def interpolate(probes: DataFrame, reference: DataFrame, keys: Sequence[str], x:
         .unionByName(probes.select(*keys, x).withColumn("_y", F.lit(None).cast("double")))
         .filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.max("_y").alias("_y"))
     )
-    cut = in_buckets(values, keys, x)
+    cut = in_ranges(values, keys, x)
     point = F.when(F.col("_y").isNotNull(), F.struct(F.col(x).alias("x"), F.col("_y").alias("y")))
     edges = cut.groupBy(*keys, "_bucket").agg(F.max(point).alias("_top"), F.min(point).alias("_bottom"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

@@ -2,10 +2,10 @@
 
 Everything here rests on :func:`positions`: for each distinct value of a group, how many rows
 hold it, how many lie below it, and how many the group has.  Values are first collapsed to
-(group, value, count) with map-side combine, then cut into buckets by edges taken from a hash
-sample of the distinct values, so neither a group that holds a third of all rows nor one value
-that does is ever sorted or collected by a single task.  Every step is a deterministic function
-of the rows, hence safe to recompute after a lost executor.
+(group, value, count) with map-side combine, then cut into ranges, counted range by range and joined
+with the counts of the ranges before, so neither a group that holds a third of all rows nor one value
+that does is ever sorted or collected by a single task.  The cut is written once and read by all
+later steps, hence safe to go on with after a lost executor.
 """
 
 from __future__ import annotations
@@ -15,8 +15,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-SAMPLE_EVERY = 2048
-MAX_EDGES = 512
+from quotalens.session import checkpointed
 
 
 def with_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:
@@ -44,21 +43,18 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined.drop(*[f"{k}__{tag}" for k in keys])
 
 
-def in_buckets(distinct: DataFrame, keys: Sequence[str], value: str, sample_every: int | None = None) -> DataFrame:
-    """Add ``_bucket``: an order-preserving cut of distinct values by a bounded hash sample of them."""
-    sampled = distinct.filter(F.pmod(F.xxhash64(value), F.lit(sample_every or SAMPLE_EVERY)) == 0)
-    step = F.greatest(F.lit(1), F.ceil(F.size("_all") / F.lit(MAX_EDGES)).cast("int"))
-    edges = (
-        sampled.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("_all"))
-        .select(*keys, F.filter("_all", lambda v, i: F.pmod(i, step) == 0).alias("_edges"))
-    )
-    cut = null_safe_join(distinct, edges, keys, "left") if keys else with_scalars(distinct, edges)
-    below_edge = F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    return cut.withColumn("_bucket", F.coalesce(F.when(F.col("_edges").isNotNull(), below_edge), F.lit(0))).drop("_edges")
+def in_ranges(distinct: DataFrame, keys: Sequence[str], value: str, ranges: int | None = None) -> DataFrame:
+    """Add ``_bucket``: the number of a row's range, in order of keys and value.  Written once, so that all readers see one cut.
+
+    Spark samples the rows for the cut and sizes the ranges by their bytes; a large group spreads over as many as it needs.
+    """
+    order = [F.col(f"`{c}`") for c in (*keys, value)]
+    cut = distinct.repartitionByRange(ranges, *order) if ranges else distinct.repartitionByRange(*order)
+    return checkpointed(cut.withColumn("_bucket", F.spark_partition_id()))
 
 
 def positions(df: DataFrame, keys: Sequence[str], value: str, weights: Mapping[str, str] | None = None,
-              sample_every: int | None = None) -> DataFrame:
+              ranges: int | None = None) -> DataFrame:
     """One row per (group, distinct non-null value): ``n_equal``, ``n_below``, ``n_total``.
 
     ``weights`` adds the same three for sums of columns: {"pos": "_y"} gives pos_equal, pos_below, pos_total.
@@ -66,7 +62,7 @@ def positions(df: DataFrame, keys: Sequence[str], value: str, weights: Mapping[s
     keys = list(keys)
     amounts = {"n": F.count(F.lit(1)), **{name: F.sum(c) for name, c in (weights or {}).items()}}
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[a.alias(f"{n}_equal") for n, a in amounts.items()])
-    cut = in_buckets(counts, keys, value, sample_every)
+    cut = in_ranges(counts, keys, value, ranges)
 
     per_bucket = cut.groupBy(*keys, "_bucket").agg(*[F.sum(f"{n}_equal").alias(f"_{n}") for n in amounts])
     over_buckets = W.partitionBy(*keys).orderBy("_bucket")
@@ -147,25 +143,29 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, desce
     return null_safe_join(df, pos, [*keys, value], "left")
 
 
-def row_numbers(df: DataFrame, score: str, tie: str, out: str, keys: Sequence[str] = (), size: str | None = None) -> DataFrame:
+def row_numbers(df: DataFrame, score: str, tie: str, out: str, keys: Sequence[str] = (), size: str | None = None, ranges: int | None = None) -> DataFrame:
     """1, 2, 3 … per group by score descending (null last), ties by ascending unique id.
 
-    The order key (score, id) is unique, so buckets of it stay balanced however many scores tie.
+    Rows are cut into sorted ranges of the unique order key (score, id), so ranges stay balanced however many scores tie; a
+    row's number is its place in its range and the count of the group's rows in the ranges before.
     ``size`` also keeps the group's row count.
     """
     keys = list(keys)
     order = F.struct((-F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))).alias("s"), F.col(tie).alias("t"))
-    cut = in_buckets(df.withColumn("_order", order), keys, "_order")
-    per_bucket = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = per_bucket.select(
-        *keys, "_bucket", (F.sum("_n").over(W.partitionBy(*keys).orderBy("_bucket")) - F.col("_n")).alias("_before"),
+    by = [*(F.col(f"`{k}`") for k in keys), F.col("_order")]
+    placed = df.withColumn("_order", order)
+    placed = (placed.repartitionByRange(ranges, *by) if ranges else placed.repartitionByRange(*by)).sortWithinPartitions(*by)
+    # the id counts a range's rows in its lower 33 bits and holds the range's number above
+    placed = checkpointed(placed.drop("_order").withColumn("_at", F.monotonically_increasing_id()).withColumn("_bucket", F.shiftright("_at", 33)))
+    counts = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    offsets = counts.select(
+        *keys, "_bucket", "_first", (F.sum("_n").over(W.partitionBy(*keys).orderBy("_bucket")) - F.col("_n")).alias("_before"),
         F.sum("_n").over(W.partitionBy(*keys)).alias("_size"))
-    inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy("_order"))
-    ranked = null_safe_join(cut.withColumn("_inside", inside), offsets, [*keys, "_bucket"], "inner")
-    ranked = ranked.withColumn(out, (F.col("_before") + F.col("_inside")).cast("long"))
+    ranked = null_safe_join(placed, offsets, [*keys, "_bucket"], "inner")
+    ranked = ranked.withColumn(out, (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("long"))
     if size:
         ranked = ranked.withColumn(size, F.col("_size"))
-    return ranked.drop("_order", "_bucket", "_before", "_size", "_inside")
+    return ranked.drop("_at", "_bucket", "_before", "_size", "_first")
 
 
 def budget(total: Column, fraction: float) -> Column:

@@ -13,7 +13,7 @@ LEVELS = {"class_country_team": ["product_class", "peer_country", "team", "perio
 
 def peer_rows(spark, sf):
     df = class_month(spark, sf).withColumn("observation_id", F.concat_ws("|", F.col("rep_id").cast("string"), "product_class", F.date_format("period", "yyyy-MM")))
-    return checkpointed(df)
+    return df
 
 
 def _peer_sql(metrics):
@@ -61,7 +61,7 @@ SELECT CAST(rep_id AS VARCHAR) || '|' || product_class || '|' || strftime(period
        floats="peer_median peer_mean peer_std z", digits=4)
 def peer_means_with_fallback(spark, sf):
     levels = {"class_team": ["product_class", "team", "period"], "class": ["product_class", "period"]}
-    return P.peer_means(peer_rows(spark, sf), "observation_id", "total_sales", levels, 3).drop("value")
+    return P.peer_means(checkpointed(peer_rows(spark, sf)), "observation_id", "total_sales", levels, 3).drop("value")
 
 
 @query("cohort_relative_measures", CLASS_MONTH + """
@@ -70,7 +70,7 @@ def peer_means_with_fallback(spark, sf):
 SELECT observation_id, 'total_sales' AS metric, 'team' AS cohort, (v - t) / greatest(abs(t), 1) AS relative FROM a UNION ALL SELECT observation_id, 'total_sales', 'product_class', (v - c) / greatest(abs(c), 1) FROM a""",
        floats="relative")
 def cohort_relative_measures(spark, sf):
-    return P.cohort_relative(peer_rows(spark, sf), "observation_id", ["total_sales"], {"team": ["team", "period"], "product_class": ["product_class", "period"]})
+    return P.cohort_relative(checkpointed(peer_rows(spark, sf)), "observation_id", ["total_sales"], {"team": ["team", "period"], "product_class": ["product_class", "period"]})
 
 
 _SERIES = REP_MONTH + """
