@@ -46,7 +46,7 @@ def feature_layers(tx: DataFrame, config: ExtendedConfig) -> dict:
     population = checkpointed(X.class_population(tx))
     demo = checkpointed(X.demo_incentives(population).withColumn("split", split_label("date", config.train_end, config.validation_end)))
     clean, features = X.extended_features(demo, config.minimum_peers)
-    marked = checkpointed(I.perturb(demo, "observation_id", "split", config.injection_rate, config.seed))
+    marked = checkpointed(I.inject(demo, "observation_id", "split", config.injection_rate, config.seed, series=["representative", "product_class"]).frame)
     labels = marked.select("observation_id", "injected_anomaly_flag", "anomaly_type", "severity")
     bench, _ = X.extended_features(marked.drop("injected_anomaly_flag", "anomaly_type", "severity"), config.minimum_peers)
     return {"transactions": tx, "population": population, "demo": demo, "clean": checkpointed(clean), "bench": checkpointed(bench), "labels": checkpointed(labels), "features": features}

@@ -86,10 +86,19 @@ _INJECT = REP_MONTH + """
 , c AS (SELECT CAST(rep_id AS VARCHAR) || '|' || CAST(period AS VARCHAR) AS row_id, CASE WHEN period <= DATE '1999-12-01' THEN 'train' WHEN period <= DATE '2000-12-01' THEN 'validation' ELSE 'test' END AS split, total_sales FROM rep_month)"""
 
 
-def injected(spark, sf):
+def injected_base(spark, sf):
     clean = rep_month(spark, sf).withColumn("row_id", F.concat_ws("|", "rep_id", "period")).withColumn("split", C.split_label("period", "1999-12-01", "2000-12-01"))
-    clean = checkpointed(clean.withColumn("data_lineage", F.lit("synthetic_normal")).withColumn("total_quantity", F.col("total_quantity").cast("double")))
-    return clean, checkpointed(I.perturb(clean, "row_id", "split", 0.06, 42))
+    return checkpointed(clean.withColumn("data_lineage", F.lit("synthetic_normal")).withColumn("total_quantity", F.col("total_quantity").cast("double")))
+
+
+def injected(spark, sf):
+    clean = injected_base(spark, sf)
+    return clean, checkpointed(changed_copy(clean).frame)
+
+
+def changed_copy(clean):
+    """The types whose column a rep-month has, over two months of a rep where they last."""
+    return I.inject(clean, "row_id", "split", 0.06, 42, [p for p in I.PERTURBATIONS if p[1] in clean.columns], series=["rep_id"], period="period")
 
 
 @query("injection_budget", _INJECT + """
@@ -98,13 +107,6 @@ def injection_budget(spark, sf):
     return injected(spark, sf)[1].groupBy("split").agg(F.sum(F.col("injected_anomaly_flag").cast("long")).alias("injected_rows"), F.count(F.lit(1)).alias("rows"))
 
 
-@query("injection_severity_mix", _INJECT + """
-, k AS (SELECT split, CAST(ceil(count(*) * 0.06 - 1e-9) AS BIGINT) AS k FROM c WHERE split <> 'train' GROUP BY 1)
-SELECT split, severity, CASE severity WHEN 'low' THEN (k + 2) // 3 WHEN 'medium' THEN (k + 1) // 3 ELSE k // 3 END AS rows FROM k CROSS JOIN (VALUES ('low'), ('medium'), ('high')) t(severity)""")
-def injection_severity_mix(spark, sf):
-    return injected(spark, sf)[1].filter("injected_anomaly_flag").groupBy("split", "severity").agg(F.count(F.lit(1)).alias("rows"))
-
-
 @query("injection_audit", _INJECT + """
 , k AS (SELECT CAST(sum(n) AS BIGINT) AS n FROM (SELECT ceil(count(*) * 0.06 - 1e-9) AS n FROM c WHERE split <> 'train' GROUP BY split))
 SELECT 'modified' AS change_type, n AS rows FROM k""")
@@ -114,6 +116,47 @@ def injection_audit(spark, sf):
     return changes.groupBy("change_type").agg(F.count(F.lit(1)).alias("rows"))
 
 
+_AUDIT = _INJECT.replace("total_sales FROM rep_month)", "rep_id, period, total_sales, CAST(total_quantity AS DOUBLE) AS total_quantity FROM rep_month)") + """
+, t AS (SELECT *, year(period) * 12 + month(period) AS m, CAST(CAST('0x' || substr(sha256('42|' || row_id), 1, 13) AS BIGINT) AS DOUBLE) AS draw FROM c WHERE split <> 'train')
+, l AS (SELECT split, b, (b // 11) * 3 + (b % 11 >= 6)::INT + (b % 11 >= 8)::INT + (b % 11 >= 10)::INT AS wp, b // 11 AS wq FROM (SELECT split, CAST(ceil(count(*) * 0.06 - 1e-9) AS BIGINT) AS b FROM t GROUP BY 1))
+, r AS (SELECT *, m - row_number() OVER (PARTITION BY split, rep_id ORDER BY m) AS run FROM t)
+, p AS (SELECT *, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY split, rep_id, run) AS len, lead(row_id) OVER w AS second, CAST(first(draw) OVER w AS BIGINT) % 2 AS odd FROM r WINDOW w AS (PARTITION BY split, rep_id, run ORDER BY m))
+, pr AS (SELECT row_id, second, split, row_number() OVER (PARTITION BY split ORDER BY draw DESC, row_id) AS k FROM (SELECT *, CASE WHEN len % 2 = 1 THEN odd ELSE 0 END AS shift FROM p)
+  WHERE place >= shift AND (place - shift) % 2 = 0 AND second IS NOT NULL)
+, pc AS (SELECT pr.* FROM pr JOIN l USING (split) WHERE k <= wp)
+, tp AS (SELECT row_id, split, k, 1 AS month FROM pc UNION ALL SELECT second, split, k, 2 FROM pc)
+, fq AS (SELECT row_id, split, row_number() OVER (PARTITION BY split ORDER BY draw DESC, row_id) AS k FROM t WHERE month(period) % 3 = 0 AND row_id NOT IN (SELECT row_id FROM tp))
+, tq AS (SELECT row_id, split, k FROM fq JOIN l USING (split) WHERE k <= wq)
+, fa AS (SELECT row_id, split, row_number() OVER (PARTITION BY split ORDER BY draw DESC, row_id) AS k FROM t WHERE row_id NOT IN (SELECT row_id FROM tp) AND row_id NOT IN (SELECT row_id FROM tq))
+, used AS (SELECT split, count(*) AS u FROM (SELECT split FROM tp UNION ALL SELECT split FROM tq) GROUP BY 1)
+, ta AS (SELECT row_id, fa.split, k FROM fa JOIN l ON l.split = fa.split LEFT JOIN used ON used.split = fa.split WHERE k <= b - coalesce(u, 0))
+, ch AS (SELECT row_id, month, ((k - 1) // 3) * 8 + 4 + (k - 1) % 3 AS step FROM tp UNION ALL SELECT row_id, 1, (k - 1) * 8 + 7 FROM tq UNION ALL SELECT row_id, 1, ((k - 1) // 4) * 8 + (k - 1) % 4 FROM ta)
+, k AS (SELECT t.row_id, t.split, month, step % 8 AS i, ['low', 'medium', 'high'][step % 3 + 1] AS severity, [0.6, 1.5, 3.0][step % 3 + 1]::DOUBLE AS s,
+  CASE WHEN step % 8 IN (1, 2) THEN 'total_quantity' ELSE 'total_sales' END AS affected_feature, CASE WHEN step % 8 IN (1, 2) THEN total_quantity ELSE total_sales END AS old FROM ch JOIN t USING (row_id))
+, v AS (SELECT *, ['sales_spike', 'quantity_spike', 'quantity_mismatch', 'peer_divergence', 'inactivity_burst', 'upward_level_shift', 'downward_level_shift', 'end_period_spike'][i + 1] AS anomaly_type,
+  CASE WHEN i IN (2, 6) THEN old / (1 + 2 * s) WHEN i = 4 THEN old * CASE WHEN month = 1 THEN 0.05 ELSE 1 + 2 * s END ELSE greatest(abs(old), 1) * (1 + s) END AS injected_value FROM k)"""
+
+
+@query("injection_severity_mix", _AUDIT + """
+SELECT split, severity, count(*) AS rows FROM v GROUP BY ALL""")
+def injection_severity_mix(spark, sf):
+    return injected(spark, sf)[1].filter("injected_anomaly_flag").groupBy("split", "severity").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("injection_values", _AUDIT + """
+SELECT row_id, split, anomaly_type, severity, CAST(month AS INTEGER) AS month, affected_feature, old AS original_value, injected_value, 42 AS seed FROM v""", floats="original_value injected_value")
+def injection_values(spark, sf):
+    """Every changed cell with its value before and after."""
+    return changed_copy(injected_base(spark, sf)).audit
+
+
+@query("injected_copy", _AUDIT + """
+SELECT c.row_id, c.split, CASE WHEN affected_feature = 'total_sales' THEN injected_value ELSE total_sales END AS total_sales, CASE WHEN affected_feature = 'total_quantity' THEN injected_value ELSE total_quantity END AS total_quantity,
+  v.row_id IS NOT NULL AS injected_anomaly_flag, coalesce(anomaly_type, 'none') AS anomaly_type, coalesce(severity, 'none') AS severity FROM c LEFT JOIN v ON v.row_id = c.row_id""", floats="total_sales total_quantity")
+def injected_copy(spark, sf):
+    return injected(spark, sf)[1].select("row_id", "split", "total_sales", "total_quantity", "injected_anomaly_flag", "anomaly_type", "severity")
+
+
 @query("provenance_trace_checks", _INJECT + """
 SELECT unnest(['changed_rows_have_injected_lineage', 'changed_rows_are_traced', 'truth_has_changed_fact']) AS check_name, 'pass' AS status, 0.0::DOUBLE AS value""", floats="value")
 def provenance_trace_checks(spark, sf):

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,7 +94,10 @@ def test_manifest_layers_and_checks(spark, tmp_path):
 
 def test_injection_keeps_training_rows_and_traces_changes(spark):
     df = spark.createDataFrame([(f"o{i}", "train" if i < 40 else "test", 100.0 + i, "synthetic_normal") for i in range(100)], "row_id string, split string, total_sales double, data_lineage string")
-    bad = I.perturb(df, "row_id", "split", 0.1, 7)
+    usable = [p for p in I.PERTURBATIONS if p[1] in df.columns]
+    bad = I.inject(df, "row_id", "split", 0.1, 7, usable).frame
+    with pytest.raises(ValueError, match="no column"):
+        I.inject(df, "row_id", "split", 0.1, 7)
     assert bad.filter("injected_anomaly_flag").groupBy("split").count().collect()[0].asDict() == {"split": "test", "count": 6}
     changes = I.changed_rows(df, bad.select(*df.columns), ["row_id"], "t")
     assert changes.count() == 6
@@ -102,6 +106,32 @@ def test_injection_keeps_training_rows_and_traces_changes(spark):
     assert I.severity_counts(10, {"low": .5, "medium": .3, "high": .2}) == {"low": 5, "medium": 3, "high": 2}
 
 
+def test_sustained_changes_take_two_months_and_keep_the_budget(spark):
+    rows = [(f"{g}|{m}", g, f"2020-{m + 1:02d}-01", "train" if m < 3 else "test", 10.0 + m, 0.5, 100.0) for g in "abcdefgh" for m in range(12) if not (g == "c" and m % 2)]
+    df = spark.createDataFrame(rows, "row_id string, g string, date string, split string, total_sales double, product_concentration double, severity double").withColumn("date", F.to_date("date"))
+    types = [p for p in I.PERTURBATIONS if p[1] in df.columns]
+    for fraction in (0.01, 0.2, 0.5, 1.0):
+        got = I.inject(df.drop("severity"), "row_id", "split", fraction, 3, types, series=["g"])
+        n = df.filter("split = 'test'").count()
+        audit = got.audit.toPandas()
+        assert len(audit) == audit.row_id.nunique() == max(1, int(np.ceil(n * fraction - 1e-9))) and set(audit.split) == {"test"}
+        kind = {t: m for t, _, m in types}
+        audit["mode"] = audit.anomaly_type.map(kind)
+        lasting = audit[audit["mode"].isin(I.SUSTAINED)]
+        first, second = (lasting[lasting.month == k] for k in (1, 2))
+        assert len(first) == len(second)
+        place = lambda part: sorted((r.row_id.split("|")[0], int(r.row_id.split("|")[1]) + (1 if r.month == 1 else 0), r.anomaly_type, r.severity) for r in part.itertuples())
+        assert place(first) == place(second)
+        if fraction < 0.5:
+            assert all((int(r.split("|")[1]) + 1) % 3 == 0 for r in audit[audit["mode"] == "quarter"].row_id)
+        frame = got.frame.toPandas().set_index("row_id")
+        assert frame.injected_anomaly_flag.sum() == len(audit)
+        for r in audit.itertuples():
+            assert frame.loc[r.row_id, r.affected_feature] == r.injected_value and frame.loc[r.row_id, "anomaly_type"] == r.anomaly_type
+            if r.mode == "sequence":
+                assert r.injected_value == pytest.approx(r.original_value * (0.05 if r.month == 1 else 1 + 2 * I.STRENGTH[r.severity]))
+
+
 def test_schema_adaptation_solves_the_missing_measure(spark):
     rows = lambda data, schema: SR.adapt_schema(spark.createDataFrame(data, schema))
     out, origin = rows([("6", "2", "Jan", "2024", " x "), ("6", "0", "13", "2024", None)], "Revenue string, Qty string, Month string, Year string, `Sales-Channel` string")
