@@ -1,11 +1,13 @@
 """Preprocessing, clustering, reconstruction and forest."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from quotalens.operators import clustering as K, forest as FO, preprocess as PP, reconstruction as RC, review as V
+from quotalens.operators import clustering as K, forest as FO, model_store as MS, preprocess as PP, reconstruction as RC, review as V
 from quotalens.queries.base import REP_MONTH, read, rep_month
 from quotalens.queries.registry import query
-from quotalens.session import checkpointed
+from quotalens.session import checkpointed, shared_folder
 
 FEATURES = ["total_sales", "total_quantity", "transaction_count"]
 
@@ -171,6 +173,22 @@ def dbscan_grid_search(spark, sf):
     return K.tune_dbscan(checkpointed(vectors(spark, sf).drop("label")), "vec_id", [5], [0.7, 0.9])[0].drop("runtime_seconds")
 
 
+@query("stored_models", _CENTERS + """
+, s AS (SELECT vec_id, cluster, distance FROM a)
+SELECT s.vec_id, cluster, distance, 0.0::DOUBLE AS pca_gap, 0.0::DOUBLE AS forest_gap, cume_dist() OVER (ORDER BY distance) AS top FROM s""", floats="distance pca_gap forest_gap top", digits=9)
+def stored_models(spark, sf):
+    """Centres, PCA, forest and a reference curve, published as a version, read in another session, used there."""
+    v = checkpointed(vectors(spark, sf))
+    pca, forest, centers = RC.fit_pca(v, variance=0.9), FO.fit_isolation_forest(v, "vec_id", trees=20), label_centers(spark, sf)
+    root = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    MS.save_models({"pca": pca, "forest": forest, "centers": centers}, root, spark)
+    first = checkpointed(forest.score(pca.score(v, out="_pca"), out="_forest").select("vec_id", "_pca", "_forest"))
+    again = MS.load_models(spark.newSession(), root)
+    scored = again["forest"].score(again["pca"].score(again["centers"].assign(v), out="pca"), out="forest").join(first, ["vec_id"])
+    out = scored.select("vec_id", "cluster", "distance", (F.col("pca") - F.col("_pca")).alias("pca_gap"), (F.col("forest") - F.col("_forest")).alias("forest_gap"))
+    return K.distance_score(out, out, out="top")
+
+
 @query("clustering_quality", _CENTERS + """
 , sp AS (SELECT e.label, avg(list_distance(v, m)) AS s, count(*) AS n, sum(list_distance(v, m) ** 2) AS w FROM e JOIN c USING (label) GROUP BY 1)
 , r AS (SELECT a.label, max((x.s + y.s) / list_distance(a.m, b.m)) AS r FROM c a JOIN c b ON a.label <> b.label JOIN sp x ON x.label = a.label JOIN sp y ON y.label = b.label GROUP BY 1)

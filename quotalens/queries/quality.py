@@ -1,12 +1,14 @@
 """Validation, injection and provenance."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quotalens import functions as C
 from quotalens.operators import injection as I, quality as Q
 from quotalens.queries.base import LEDGER, REP_MONTH, ledger, read, rep_month
 from quotalens.queries.registry import query
-from quotalens.session import checkpointed
+from quotalens.session import checkpointed, shared_folder
 from quotalens.sources import readers as SR, writers as SW
 
 
@@ -116,27 +118,32 @@ def injection_audit(spark, sf):
     return changes.groupBy("change_type").agg(F.count(F.lit(1)).alias("rows"))
 
 
-_AUDIT = _INJECT.replace("total_sales FROM rep_month)", "rep_id, period, total_sales, CAST(total_quantity AS DOUBLE) AS total_quantity FROM rep_month)") + """
-, t AS (SELECT *, year(period) * 12 + month(period) AS m, CAST(CAST('0x' || substr(sha256('42|' || row_id), 1, 13) AS BIGINT) AS DOUBLE) AS draw FROM c WHERE split <> 'train')
-, l AS (SELECT split, b, (b // 11) * 3 + (b % 11 >= 6)::INT + (b % 11 >= 8)::INT + (b % 11 >= 10)::INT AS wp, b // 11 AS wq FROM (SELECT split, CAST(ceil(count(*) * 0.06 - 1e-9) AS BIGINT) AS b FROM t GROUP BY 1))
-, r AS (SELECT *, m - row_number() OVER (PARTITION BY split, rep_id ORDER BY m) AS run FROM t)
-, p AS (SELECT *, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY split, rep_id, run) AS len, lead(row_id) OVER w AS second, CAST(first(draw) OVER w AS BIGINT) % 2 AS odd FROM r WINDOW w AS (PARTITION BY split, rep_id, run ORDER BY m))
-, pr AS (SELECT row_id, second, split, row_number() OVER (PARTITION BY split ORDER BY draw DESC, row_id) AS k FROM (SELECT *, CASE WHEN len % 2 = 1 THEN odd ELSE 0 END AS shift FROM p)
+def audit_sql(seeds, fraction):
+    """The changed cells of one injection per seed."""
+    return _INJECT.replace("total_sales FROM rep_month)", "rep_id, period, total_sales, CAST(total_quantity AS DOUBLE) AS total_quantity FROM rep_month)") + f"""
+, t AS (SELECT *, year(period) * 12 + month(period) AS m, CAST(CAST('0x' || substr(sha256(seed || '|' || row_id), 1, 13) AS BIGINT) AS DOUBLE) AS draw FROM c CROSS JOIN (SELECT unnest({seeds}) AS seed) WHERE split <> 'train')
+, l AS (SELECT seed, split, b, (b // 11) * 3 + (b % 11 >= 6)::INT + (b % 11 >= 8)::INT + (b % 11 >= 10)::INT AS wp, b // 11 AS wq FROM (SELECT seed, split, CAST(ceil(count(*) * {fraction} - 1e-9) AS BIGINT) AS b FROM t GROUP BY ALL))
+, r AS (SELECT *, m - row_number() OVER (PARTITION BY seed, split, rep_id ORDER BY m) AS run FROM t)
+, p AS (SELECT *, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY seed, split, rep_id, run) AS len, lead(row_id) OVER w AS second, CAST(first(draw) OVER w AS BIGINT) % 2 AS odd FROM r WINDOW w AS (PARTITION BY seed, split, rep_id, run ORDER BY m))
+, pr AS (SELECT seed, row_id, second, split, row_number() OVER (PARTITION BY seed, split ORDER BY draw DESC, row_id) AS k FROM (SELECT *, CASE WHEN len % 2 = 1 THEN odd ELSE 0 END AS shift FROM p)
   WHERE place >= shift AND (place - shift) % 2 = 0 AND second IS NOT NULL)
-, pc AS (SELECT pr.* FROM pr JOIN l USING (split) WHERE k <= wp)
-, tp AS (SELECT row_id, split, k, 1 AS month FROM pc UNION ALL SELECT second, split, k, 2 FROM pc)
-, fq AS (SELECT row_id, split, row_number() OVER (PARTITION BY split ORDER BY draw DESC, row_id) AS k FROM t WHERE month(period) % 3 = 0 AND row_id NOT IN (SELECT row_id FROM tp))
-, tq AS (SELECT row_id, split, k FROM fq JOIN l USING (split) WHERE k <= wq)
-, fa AS (SELECT row_id, split, row_number() OVER (PARTITION BY split ORDER BY draw DESC, row_id) AS k FROM t WHERE row_id NOT IN (SELECT row_id FROM tp) AND row_id NOT IN (SELECT row_id FROM tq))
-, used AS (SELECT split, count(*) AS u FROM (SELECT split FROM tp UNION ALL SELECT split FROM tq) GROUP BY 1)
-, ta AS (SELECT row_id, fa.split, k FROM fa JOIN l ON l.split = fa.split LEFT JOIN used ON used.split = fa.split WHERE k <= b - coalesce(u, 0))
-, ch AS (SELECT row_id, month, ((k - 1) // 3) * 8 + 4 + (k - 1) % 3 AS step FROM tp UNION ALL SELECT row_id, 1, (k - 1) * 8 + 7 FROM tq UNION ALL SELECT row_id, 1, ((k - 1) // 4) * 8 + (k - 1) % 4 FROM ta)
-, k AS (SELECT t.row_id, t.split, month, step % 8 AS i, ['low', 'medium', 'high'][step % 3 + 1] AS severity, [0.6, 1.5, 3.0][step % 3 + 1]::DOUBLE AS s,
-  CASE WHEN step % 8 IN (1, 2) THEN 'total_quantity' ELSE 'total_sales' END AS affected_feature, CASE WHEN step % 8 IN (1, 2) THEN total_quantity ELSE total_sales END AS old FROM ch JOIN t USING (row_id))
+, pc AS (SELECT pr.* FROM pr JOIN l USING (seed, split) WHERE k <= wp)
+, tp AS (SELECT seed, row_id, split, k, 1 AS month FROM pc UNION ALL SELECT seed, second, split, k, 2 FROM pc)
+, fq AS (SELECT seed, row_id, split, row_number() OVER (PARTITION BY seed, split ORDER BY draw DESC, row_id) AS k FROM t WHERE month(period) % 3 = 0 AND (seed, row_id) NOT IN (SELECT (seed, row_id) FROM tp))
+, tq AS (SELECT seed, row_id, split, k FROM fq JOIN l USING (seed, split) WHERE k <= wq)
+, fa AS (SELECT seed, row_id, split, row_number() OVER (PARTITION BY seed, split ORDER BY draw DESC, row_id) AS k FROM t WHERE (seed, row_id) NOT IN (SELECT (seed, row_id) FROM tp) AND (seed, row_id) NOT IN (SELECT (seed, row_id) FROM tq))
+, used AS (SELECT seed, split, count(*) AS u FROM (SELECT seed, split FROM tp UNION ALL SELECT seed, split FROM tq) GROUP BY ALL)
+, ta AS (SELECT fa.seed, row_id, fa.split, k FROM fa JOIN l ON l.split = fa.split AND l.seed = fa.seed LEFT JOIN used ON used.split = fa.split AND used.seed = fa.seed WHERE k <= b - coalesce(u, 0))
+, ch AS (SELECT seed, row_id, month, ((k - 1) // 3) * 8 + 4 + (k - 1) % 3 AS step FROM tp UNION ALL SELECT seed, row_id, 1, (k - 1) * 8 + 7 FROM tq UNION ALL SELECT seed, row_id, 1, ((k - 1) // 4) * 8 + (k - 1) % 4 FROM ta)
+, k AS (SELECT t.seed, t.row_id, t.split, month, step % 8 AS i, ['low', 'medium', 'high'][step % 3 + 1] AS severity, [0.6, 1.5, 3.0][step % 3 + 1]::DOUBLE AS s,
+  CASE WHEN step % 8 IN (1, 2) THEN 'total_quantity' ELSE 'total_sales' END AS affected_feature, CASE WHEN step % 8 IN (1, 2) THEN total_quantity ELSE total_sales END AS old FROM ch JOIN t USING (seed, row_id))
 , v AS (SELECT *, ['sales_spike', 'quantity_spike', 'quantity_mismatch', 'peer_divergence', 'inactivity_burst', 'upward_level_shift', 'downward_level_shift', 'end_period_spike'][i + 1] AS anomaly_type,
   CASE WHEN i IN (2, 6) THEN old / (1 + 2 * s) WHEN i = 4 THEN old * CASE WHEN month = 1 THEN 0.05 ELSE 1 + 2 * s END ELSE greatest(abs(old), 1) * (1 + s) END AS injected_value FROM k)"""
 
 
+_AUDIT = audit_sql([42], 0.06)
+
+
 @query("injection_severity_mix", _AUDIT + """
 SELECT split, severity, count(*) AS rows FROM v GROUP BY ALL""")
 def injection_severity_mix(spark, sf):
@@ -144,7 +151,7 @@ def injection_severity_mix(spark, sf):
 
 
 @query("injection_values", _AUDIT + """
-SELECT row_id, split, anomaly_type, severity, CAST(month AS INTEGER) AS month, affected_feature, old AS original_value, injected_value, 42 AS seed FROM v""", floats="original_value injected_value")
+SELECT row_id, split, anomaly_type, severity, CAST(month AS INTEGER) AS month, affected_feature, old AS original_value, injected_value, seed FROM v""", floats="original_value injected_value")
 def injection_values(spark, sf):
     """Every changed cell with its value before and after."""
     return changed_copy(injected_base(spark, sf)).audit
@@ -157,6 +164,45 @@ def injected_copy(spark, sf):
     return injected(spark, sf)[1].select("row_id", "split", "total_sales", "total_quantity", "injected_anomaly_flag", "anomaly_type", "severity")
 
 
+SEEDS, LOW_RATE = [143, 144, 145], 0.02
+
+
+@query("prevalence_sensitivity", audit_sql(SEEDS, LOW_RATE) + """
+, f AS (SELECT s.seed, c.*, CASE WHEN affected_feature = 'total_sales' THEN injected_value ELSE total_sales END AS ts, CASE WHEN affected_feature = 'total_quantity' THEN injected_value ELSE total_quantity END AS tq, v.row_id IS NOT NULL AS flag
+  FROM c CROSS JOIN (SELECT unnest([143, 144, 145]) AS seed) s LEFT JOIN v ON v.row_id = c.row_id AND v.seed = s.seed WHERE c.split = 'test')
+, tr AS (SELECT team, sign(c.total_sales) * ln(1 + abs(c.total_sales)) AS x, ln(1 + c.total_quantity) AS y FROM c JOIN rep_month r ON r.rep_id = c.rep_id AND r.period = c.period WHERE split = 'train')
+, p AS (SELECT median(x) AS xm, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS xi, median(y) AS ym, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS yi FROM tr)
+, z AS (SELECT team, (x - xm) / xi AS x, (y - ym) / yi AS y FROM tr CROSS JOIN p)
+, ce AS (SELECT 'one centre' AS model_name, avg(x) AS cx, avg(y) AS cy FROM z UNION ALL SELECT 'team centres', avg(x), avg(y) FROM z GROUP BY team)
+, g AS (SELECT seed, seed || '|' || row_id AS id, flag, (sign(ts) * ln(1 + abs(ts)) - xm) / xi AS x, (sign(tq) * ln(1 + abs(tq)) - ym) / yi AS y FROM f CROSS JOIN p)
+, sc AS (SELECT seed, model_name, id, flag, min(sqrt((x - cx) ** 2 + (y - cy) ** 2)) AS score FROM g CROSS JOIN ce GROUP BY ALL)
+, rk AS (SELECT *, row_number() OVER (PARTITION BY seed, model_name ORDER BY score DESC, id) AS r, count(*) OVER (PARTITION BY seed, model_name) AS n,
+  rank() OVER (PARTITION BY seed, model_name ORDER BY score) + (count(*) OVER (PARTITION BY seed, model_name, score) - 1) / 2.0 AS low FROM sc)
+SELECT seed, model_name, avg(flag::INT) AS prevalence, sum(flag::INT) FILTER (r <= ceil(n * 0.05 - 1e-9)) / ceil(any_value(n) * 0.05 - 1e-9) AS precision_at_5pct, sum(flag::INT) FILTER (r <= ceil(n * 0.05 - 1e-9)) / sum(flag::INT) AS recall_at_5pct,
+  (sum(low) FILTER (flag) - sum(flag::INT) * (sum(flag::INT) + 1) / 2.0) / (sum(flag::INT) * (any_value(n) - sum(flag::INT))) AS roc_auc FROM rk GROUP BY seed, model_name""", floats="prevalence precision_at_5pct recall_at_5pct roc_auc")
+def prevalence_sensitivity(spark, sf):
+    """Models fitted once on clean training rows, stored, loaded, and judged on three populations of low prevalence."""
+    from quotalens.operators import clustering as K, model_store as MS, preprocess as PP
+    clean = injected_base(spark, sf)
+    train = clean.filter("split = 'train'")
+    features = ["total_sales", "total_quantity"]
+    pre = PP.fit_preprocessor(train, features, log=True)
+    fitted = pre.transform(train)
+    center = lambda df: [list(r) for r in df.agg(*[F.avg(F.get("vector", F.lit(i))).alias(c) for i, c in enumerate(features)]).select(*features).collect()]
+    root = f"{shared_folder(spark)}/frozen-{uuid.uuid4().hex}"
+    MS.save_models({"prepared": pre, "one centre": K.KMeansModel(center(fitted)), "team centres": K.KMeansModel(center(fitted.groupBy("team")))}, root, spark)
+    frozen = MS.load_models(spark, root)
+
+    def score(rows):
+        vectors = frozen["prepared"].transform(rows).select("population_row", "vector")
+        each = [frozen[m].assign(vectors).select("population_row", F.lit(m).alias("model_name"), F.col("distance").alias("raw_score")) for m in ("one centre", "team centres")]
+        return each[0].unionByName(each[1])
+
+    usable = [p for p in I.PERTURBATIONS if p[1] in clean.columns]
+    out = I.sensitivity(clean, "row_id", "split", LOW_RATE, SEEDS, score, perturbations=usable, series=["rep_id"], period="period")
+    return out.select("seed", "model_name", "prevalence", "precision_at_5pct", "recall_at_5pct", "roc_auc")
+
+
 @query("provenance_trace_checks", _INJECT + """
 SELECT unnest(['changed_rows_have_injected_lineage', 'changed_rows_are_traced', 'truth_has_changed_fact']) AS check_name, 'pass' AS status, 0.0::DOUBLE AS value""", floats="value")
 def provenance_trace_checks(spark, sf):
@@ -169,6 +215,17 @@ def provenance_trace_checks(spark, sf):
     return I.trace_checks(again, I.extend_truth(truth, again, "injection_id", ["rep_id", "period"]), "injection_id").drop("detail")
 
 
+@query("published_layers", """
+SELECT 'orders' AS table_name, count(*) AS rows, true AS intact FROM orders UNION ALL SELECT 'supplier', count(*), true FROM supplier UNION ALL
+SELECT 'open_orders', count(*), true FROM orders WHERE o_orderstatus = 'O'""")
+def published_layers(spark, sf):
+    """Two layers and a derived one, published as one version and verified against its manifest."""
+    root = f"{shared_folder(spark)}/layers-{uuid.uuid4().hex}"
+    orders = read(spark, sf, "orders")
+    SW.publish({"orders": orders, "supplier": read(spark, sf, "supplier"), "open_orders": orders.filter("o_orderstatus = 'O'")}, root, spark)
+    return SW.verified(spark, root)
+
+
 @query("severity_largest_remainder", """
 WITH n AS (SELECT count(*) AS n FROM customer), q AS (SELECT * FROM (VALUES ('low', 0.5, 1), ('medium', 0.3, 2), ('high', 0.2, 3)) t(severity, p, i) CROSS JOIN n)
 , f AS (SELECT *, floor(n * p) AS base, n * p - floor(n * p) AS rest FROM q), r AS (SELECT *, row_number() OVER (ORDER BY rest DESC, i) AS k, n - sum(base) OVER () AS left_over FROM f)

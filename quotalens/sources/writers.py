@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -45,6 +46,63 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("checksum"), F.bit_xor(h).alias("xor"))
 
 
+# --- versions: staged, verified, published by a manifest --------------------------------------
+
+MANIFEST = "version long, table_name string, path string, rows long, checksum string, xor long"
+
+
+def published_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """All published rows (version, table_name, path, rows, checksum, xor); none before the first version."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest/_SUCCESS")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
+
+
+def publish(tables: Mapping[str, DataFrame], root: str, spark: SparkSession) -> int:
+    """Write tables as one version and return its number.
+
+    Each table goes to a staging folder of its own and is read back; only when counts and fingerprints of all
+    agree is the manifest appended, as the last step.  A write that ends before leaves files that no reader sees.
+    """
+    staged = f"{root}/data/{uuid.uuid4().hex}"
+    version = (published_manifest(spark, root).agg(F.max("version")).first()[0] or 0) + 1
+    rows = []
+    for name, table in tables.items():
+        path = write_table(table, staged, name)[0]
+        want, got = (fingerprint(t).first() for t in (table, spark.read.schema(table.schema).parquet(path)))
+        if want != got:
+            raise ValueError(f"{name}: {got['rows']} rows read back where {want['rows']} were written, or other values")
+        rows.append((version, name, path, got["rows"], got["checksum"], got["xor"]))
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    return version
+
+
+def published(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables of the latest version, or of a given one; files outside the manifest do not exist for a reader."""
+    manifest = published_manifest(spark, root)
+    if version is None:
+        version = manifest.agg(F.max("version")).first()[0]
+    rows = manifest.filter(F.col("version") == F.lit(version)).collect()  # one row per table
+    if not rows:
+        raise LookupError(f"no published version {version} in {root}")
+    return {r["table_name"]: spark.read.parquet(r["path"]) for r in rows}
+
+
+def verified(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """(table_name, rows, intact): the tables of a version against the fingerprints of its manifest."""
+    tables = published(spark, root, version)
+    manifest = published_manifest(spark, root)
+    newest = manifest.agg(F.max("version")).first()[0] if version is None else version
+    out = None
+    for name, table in tables.items():
+        now = fingerprint(table).select(F.lit(name).alias("table_name"), F.col("rows").alias("_rows"), F.col("checksum").alias("_checksum"), F.col("xor").alias("_xor"))
+        row = manifest.filter(F.col("version") == newest).join(now, ["table_name"]).select(
+            "table_name", "rows", ((F.col("rows") == F.col("_rows")) & F.col("checksum").eqNullSafe(F.col("_checksum")) & F.col("xor").eqNullSafe(F.col("_xor"))).alias("intact"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: whether two fingerprints agree."""
     return before.exceptAll(after).agg((F.count(F.lit(1)) == 0).alias("unchanged"))
