@@ -171,10 +171,10 @@ SEEDS, LOW_RATE = [143, 144, 145], 0.02
 , f AS (SELECT s.seed, c.*, CASE WHEN affected_feature = 'total_sales' THEN injected_value ELSE total_sales END AS ts, CASE WHEN affected_feature = 'total_quantity' THEN injected_value ELSE total_quantity END AS tq, v.row_id IS NOT NULL AS flag
   FROM c CROSS JOIN (SELECT unnest([143, 144, 145]) AS seed) s LEFT JOIN v ON v.row_id = c.row_id AND v.seed = s.seed WHERE c.split = 'test')
 , tr AS (SELECT team, sign(c.total_sales) * ln(1 + abs(c.total_sales)) AS x, ln(1 + c.total_quantity) AS y FROM c JOIN rep_month r ON r.rep_id = c.rep_id AND r.period = c.period WHERE split = 'train')
-, p AS (SELECT median(x) AS xm, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS xi, median(y) AS ym, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS yi FROM tr)
-, z AS (SELECT team, (x - xm) / xi AS x, (y - ym) / yi AS y FROM tr CROSS JOIN p)
+, pre AS (SELECT median(x) AS xm, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS xi, median(y) AS ym, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS yi FROM tr)
+, z AS (SELECT team, (x - xm) / xi AS x, (y - ym) / yi AS y FROM tr CROSS JOIN pre)
 , ce AS (SELECT 'one centre' AS model_name, avg(x) AS cx, avg(y) AS cy FROM z UNION ALL SELECT 'team centres', avg(x), avg(y) FROM z GROUP BY team)
-, g AS (SELECT seed, seed || '|' || row_id AS id, flag, (sign(ts) * ln(1 + abs(ts)) - xm) / xi AS x, (sign(tq) * ln(1 + abs(tq)) - ym) / yi AS y FROM f CROSS JOIN p)
+, g AS (SELECT seed, seed || '|' || row_id AS id, flag, (sign(ts) * ln(1 + abs(ts)) - xm) / xi AS x, (sign(tq) * ln(1 + abs(tq)) - ym) / yi AS y FROM f CROSS JOIN pre)
 , sc AS (SELECT seed, model_name, id, flag, min(sqrt((x - cx) ** 2 + (y - cy) ** 2)) AS score FROM g CROSS JOIN ce GROUP BY ALL)
 , rk AS (SELECT *, row_number() OVER (PARTITION BY seed, model_name ORDER BY score DESC, id) AS r, count(*) OVER (PARTITION BY seed, model_name) AS n,
   rank() OVER (PARTITION BY seed, model_name ORDER BY score) + (count(*) OVER (PARTITION BY seed, model_name, score) - 1) / 2.0 AS low FROM sc)
