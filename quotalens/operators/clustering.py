@@ -14,7 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quotalens.operators.metric_tree import LEAF_ROWS, MetricTree, Queries, build_tree, distances as _distances, kth_distances, near_leaves, own_queries, route, visit
@@ -243,23 +244,29 @@ def dbscan_scores(labels: DataFrame, distances: DataFrame, row_id: str, referenc
 # --- quality --------------------------------------------------------------------------------
 
 
+def centroids(df: DataFrame, label: str, vector: str = "vector") -> DataFrame:
+    """(label, n, m): size and mean vector of each label, combined before the shuffle."""
+    summary = Summarizer.metrics("count", "mean").summary(array_to_vector(vector))
+    return df.groupBy(label).agg(summary.alias("_s")).select(label, F.col("_s.count").alias("n"), vector_to_array("_s.mean").alias("m"))
+
+
 def clustering_quality(df: DataFrame, row_id: str, label: str, vector: str = "vector", sample: int = 2000, max_clusters: int = 1000) -> DataFrame:
-    """Counts, balance, Davies–Bouldin and Calinski–Harabasz over all members; exact silhouette of a hash sample (one row).
+    """Counts, balance, Davies–Bouldin, Calinski–Harabasz and the silhouette of squared distances over all members; the silhouette of
+    plain distances (silhouette_score) over a hash sample (one row).
 
-    The sample and the centroids are bounded, so they travel to the tasks; rows do not meet.
+    A row's mean squared distance to a cluster follows from the cluster's size, centre and spread.  The sample and the centroids are bounded, so they travel to the tasks; rows do not meet.
     """
     spark = df.sparkSession
     facts = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).isNull().cast("long")).alias("noise")).first()
     members = df.filter(F.col(label).isNotNull()).select(row_id, F.col(label).cast("string").alias("c"), vector)
     d = len(df.select(vector).first()[0])
-    each = members.select("c", F.posexplode(vector).alias("i", "x")).groupBy("c", "i").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
-    rows = each.groupBy("c").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m")).orderBy("c").limit(max_clusters + 1).collect()
+    rows = centroids(members, "c", vector).orderBy("c").limit(max_clusters + 1).collect()
     if len(rows) > max_clusters:
         raise ValueError(f"more than {max_clusters} clusters")
     names, sizes = [r["c"] for r in rows], np.array([r["n"] for r in rows], float)
     out = {"number_of_clusters": len(rows), "noise_percentage": 100.0 * (facts["noise"] or 0) / max(facts["n"], 1),
            "smallest_cluster_pct": float(100.0 * sizes.min() / facts["n"]) if len(rows) else 0.0, "largest_cluster_pct": float(100.0 * sizes.max() / facts["n"]) if len(rows) else 0.0,
-           "cluster_balance": float(sizes.min() / sizes.max()) if len(rows) else 0.0, "silhouette_score": None, "davies_bouldin_score": None, "calinski_harabasz_score": None}
+           "cluster_balance": float(sizes.min() / sizes.max()) if len(rows) else 0.0, "silhouette_score": None, "davies_bouldin_score": None, "calinski_harabasz_score": None, "silhouette_squared": None}
     if len(rows) >= 2 and sizes.sum() > len(rows):
         centers = np.array([r["m"] for r in rows])
         index = {c: i for i, c in enumerate(names)}
@@ -282,8 +289,23 @@ def clustering_quality(df: DataFrame, row_id: str, label: str, vector: str = "ve
         total = (sizes[:, None] * centers).sum(0) / sizes.sum()
         between = float((sizes * ((centers - total) ** 2).sum(1)).sum())
         out["calinski_harabasz_score"] = float(between / (len(names) - 1) / (within / (sizes.sum() - len(names)))) if within > 0 else 1.0
+        inside = np.array([spread[i][1] for i in range(len(names))]) / sizes  # mean squared distance to the own centre
+
+        @F.pandas_udf("double")
+        def width(c: pd.Series, v: pd.Series) -> pd.Series:
+            if not len(v):
+                return pd.Series([], dtype="float64")
+            own, n = c.to_numpy(dtype=int), np.arange(len(c))
+            mean = np.square(_distances(np.stack(v.to_numpy()).astype(float), centers)) + inside
+            a = mean[n, own] * sizes[own] / np.maximum(sizes[own] - 1, 1)
+            mean[n, own] = np.inf
+            b = mean.min(1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return pd.Series(np.where((sizes[own] > 1) & (np.maximum(a, b) > 0), (b - a) / np.maximum(a, b), 0.0))
+
+        out["silhouette_squared"] = dist.select(width("k", vector).alias("w")).agg(F.avg("w")).first()[0]
         out["silhouette_score"] = _sampled_silhouette(dist, row_id, vector, sample, len(names))
-    schema = "number_of_clusters int, noise_percentage double, smallest_cluster_pct double, largest_cluster_pct double, cluster_balance double, silhouette_score double, davies_bouldin_score double, calinski_harabasz_score double"
+    schema = "number_of_clusters int, noise_percentage double, smallest_cluster_pct double, largest_cluster_pct double, cluster_balance double, silhouette_score double, davies_bouldin_score double, calinski_harabasz_score double, silhouette_squared double"
     return spark.createDataFrame([tuple(out.values())], schema)
 
 
@@ -325,7 +347,7 @@ def selection_scores(trials: DataFrame) -> DataFrame:
 
 TRIAL = ("configuration_id string, k int, eps double, min_samples int, runtime_seconds double, stability_score double, interpretability_score double, valid_configuration boolean, "
          "number_of_clusters int, noise_percentage double, smallest_cluster_pct double, largest_cluster_pct double, cluster_balance double, silhouette_score double, "
-         "davies_bouldin_score double, calinski_harabasz_score double")
+         "davies_bouldin_score double, calinski_harabasz_score double, silhouette_squared double")
 
 
 def tune_kmeans(df: DataFrame, row_id: str, ks: Sequence[int], seed: int = 42, repeats: int = 2, vector: str = "vector", limits: tuple[float, float] = (1.0, 90.0)) -> tuple[DataFrame, int]:

@@ -61,8 +61,7 @@ _EMB = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM
 
 
 def label_centers(spark, sf):
-    rows = vectors(spark, sf).select("label", F.posexplode("vector").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
-    rows = rows.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m")).orderBy("label").collect()
+    rows = K.centroids(vectors(spark, sf), "label").orderBy("label").collect()  # one row per label
     return K.KMeansModel([r["m"] for r in rows])
 
 
@@ -192,10 +191,16 @@ def stored_models(spark, sf):
 @query("clustering_quality", _CENTERS + """
 , sp AS (SELECT e.label, avg(list_distance(v, m)) AS s, count(*) AS n, sum(list_distance(v, m) ** 2) AS w FROM e JOIN c USING (label) GROUP BY 1)
 , r AS (SELECT a.label, max((x.s + y.s) / list_distance(a.m, b.m)) AS r FROM c a JOIN c b ON a.label <> b.label JOIN sp x ON x.label = a.label JOIN sp y ON y.label = b.label GROUP BY 1)
-SELECT CAST((SELECT count(*) FROM c) AS INTEGER) AS number_of_clusters, 0.0::DOUBLE AS noise_percentage, (SELECT min(n) / max(n) FROM sp) AS cluster_balance, (SELECT avg(r) FROM r) AS davies_bouldin_score""",
-       floats="noise_percentage cluster_balance davies_bouldin_score")
+, al AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(x) AS m FROM u GROUP BY 1)), bt AS (SELECT sum(n * list_distance(c.m, al.m) ** 2) AS b FROM c JOIN sp USING (label) CROSS JOIN al)
+, pw AS (SELECT x.vec_id, x.label AS own, y.label, sum(list_distance(x.v, y.v) ** 2) AS s, count(*) AS n FROM e x CROSS JOIN e y GROUP BY ALL)
+, ab AS (SELECT vec_id, max(s / greatest(n - 1, 1)) FILTER (own = label) AS a, min(s / n) FILTER (own <> label) AS b, max(n) FILTER (own = label) AS n FROM pw GROUP BY 1)
+SELECT CAST((SELECT count(*) FROM c) AS INTEGER) AS number_of_clusters, 0.0::DOUBLE AS noise_percentage, (SELECT 100.0 * min(n) / sum(n) FROM sp) AS smallest_cluster_pct, (SELECT 100.0 * max(n) / sum(n) FROM sp) AS largest_cluster_pct,
+  (SELECT min(n) / max(n) FROM sp) AS cluster_balance, (SELECT avg(r) FROM r) AS davies_bouldin_score,
+  (SELECT b FROM bt) / ((SELECT count(*) FROM c) - 1) / ((SELECT sum(w) / (sum(n) - count(*)) FROM sp)) AS calinski_harabasz_score, (SELECT avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END) FROM ab) AS silhouette_squared""",
+       floats="noise_percentage smallest_cluster_pct largest_cluster_pct cluster_balance davies_bouldin_score calinski_harabasz_score silhouette_squared")
 def clustering_quality(spark, sf):
-    return K.clustering_quality(vectors(spark, sf), "vec_id", "label").select("number_of_clusters", "noise_percentage", "cluster_balance", "davies_bouldin_score")
+    """All but the sampled silhouette, which is exact only up to the sample's size."""
+    return K.clustering_quality(vectors(spark, sf), "vec_id", "label").drop("silhouette_score")
 
 
 @query("pca_reconstruction")
