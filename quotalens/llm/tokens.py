@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 
@@ -58,7 +58,7 @@ class Encoder:
         return cls._made[path, words, special]
 
     def forget(self):
-        self.known: dict[int, int] = {}
+        self.known, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # names in order, and the row of each
         self.size = np.zeros(1 << 16, np.int32)
         self.place = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
@@ -123,7 +123,8 @@ class Encoder:
         hit |= (a == 0xE3) & (b == 0x80) & (c == 0x80)
         return np.unique(np.searchsorted(at, lead[hit], "right") - 1)
 
-    def learn(self, hashes: list[int], texts: list[str]):
+    def learn(self, names: np.ndarray, texts: list[str]):
+        """Encode units whose names, in order, are not known."""
         out = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, out), np.int64, len(out))
         flat = np.fromiter(chain.from_iterable(out), np.uint32, int(sizes.sum()))
@@ -136,7 +137,8 @@ class Encoder:
         self.place[low : low + len(out)] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.known.update(zip(hashes, range(low, low + len(out))))
+        place = np.searchsorted(self.known, names)
+        self.known, self.rows = np.insert(self.known, place, names), np.insert(self.rows, place, np.arange(low, low + len(out), dtype=np.int32))
 
     def encode_slice(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's ids begin (one more at the end)."""
@@ -151,13 +153,15 @@ class Encoder:
             self.forget()
         some = np.zeros(len(names), np.int64)
         some[place] = np.arange(len(place))
-        keys = names.tolist()
-        row = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        row = np.full(len(names), -1, np.int64)
+        if len(self.known):
+            near = np.minimum(np.searchsorted(self.known, names), len(self.known) - 1)
+            row = np.where(self.known[near] == names, self.rows[near], row)
         new = np.flatnonzero(row < 0)
         if len(new):
             raw, rows = data.tobytes(), some[new]
             row[new] = len(self.known) + np.arange(len(new))
-            self.learn(names[new].tolist(), [raw[a:b].decode() for a, b in zip(begin[rows].tolist(), end[rows].tolist())])
+            self.learn(names[new], [raw[a:b].decode() for a, b in zip(begin[rows].tolist(), end[rows].tolist())])
         row = row[place]
         sizes = self.size[row].astype(np.int64)
         to = np.concatenate([[0], np.cumsum(sizes)])
