@@ -205,10 +205,11 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, left: str, right: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rank correlation with averaged ties, per group, over rows where both are present."""
+    """Rank correlation with averaged ties, per group, over rows where both are present; null where either is constant."""
     both = df.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).select(*keys, left, right)
     ranked = percent_ranks(both, keys, {left: "_l", right: "_r"})
-    return ranked.groupBy(*keys).agg(F.corr("_l", "_r").alias("spearman"))
+    spread = F.stddev_pop("_l") * F.stddev_pop("_r")
+    return ranked.groupBy(*keys).agg((F.covar_pop("_l", "_r") / F.when(spread > 0, spread)).alias("spearman"))
 
 
 def column_profile(df: DataFrame) -> DataFrame:
