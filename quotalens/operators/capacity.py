@@ -14,7 +14,7 @@ from quotalens.functions import exact_id, first_match, lenient_bool, month_start
 from quotalens.operators import aggregates as A, shares as S
 from quotalens.operators.joins import assemble, month_grid, unique_or_fail, with_fallback
 from quotalens.session import checkpointed
-from quotalens.operators.ranking import null_safe_join, quantiles, unpivot, with_scalars, with_totals
+from quotalens.operators.ranking import average_rank, null_safe_join, quantiles, unpivot, with_scalars, with_totals
 
 REP = ["rep_id", "period"]
 CELL = ["rep_id", "period", "territory_id"]
@@ -417,11 +417,75 @@ def threshold_sensitivity(calendar: DataFrame, thresholds: Sequence[float]) -> D
     return calendar.select(F.inline(cells)).groupBy("threshold_pct").agg(F.sum(F.col("_hit").cast("long")).alias("overloaded_rows"), A.rate(F.col("_hit")).alias("overload_rate"))
 
 
-def undercoverage_rows(clean: DataFrame, injected: DataFrame, probability: float = 0.95) -> DataFrame:
-    """Injected rows whose priority gap exceeds the clean layer's percentile (one summary row)."""
+def flagged_counts(scored: DataFrame, label: str, flag: str) -> DataFrame:
+    """One row: observations, positive_support, selected, captured, false_positives, precision, recall (null without positives)."""
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    y, p = F.coalesce(F.col(label), F.lit(False)), F.coalesce(F.col(flag), F.lit(False))
+    row = scored.agg(F.count(F.lit(1)).alias("observations"), n(y).alias("positive_support"), n(p).alias("selected"), n(y & p).alias("captured"), n(~y & p).alias("false_positives"))
+    return row.withColumn("precision", share("captured", "selected")).withColumn("recall", F.try_divide(F.col("captured"), F.col("positive_support")))
+
+
+def undercoverage_rows(clean: DataFrame, injected: DataFrame, truth: DataFrame, probability: float = 0.95) -> DataFrame:
+    """How the rule "gap above the clean table's percentile" finds the records named by ``truth`` (one row).
+
+    ``truth``: truth_id, record_ids (array).  Records that the injected table does not hold support nothing.
+    """
     cut = quantiles(clean, [], "priority_customer_coverage_gap", {"threshold": probability})
-    marked = with_scalars(injected, cut)
-    return marked.agg(F.max("threshold").alias("threshold"), F.sum((F.col("priority_customer_coverage_gap") > F.col("threshold")).cast("long")).alias("flagged_rows"), F.count(F.lit(1)).alias("rows"))
+    named = truth.select(F.explode("record_ids").alias("capacity_record_id")).distinct().withColumn("_y", F.lit(True))
+    marked = with_scalars(injected.join(named, ["capacity_record_id"], "left"), cut)
+    marked = marked.withColumn("_p", F.col("priority_customer_coverage_gap") > F.col("threshold"))
+    return with_scalars(flagged_counts(marked, "_y", "_p"), cut)
+
+
+def scenario_type_rows(clean: DataFrame, injected: DataFrame, truth: DataFrame, overload: str, undercoverage: str, threshold: float = 100.0, probability: float = 0.95) -> DataFrame:
+    """One row per capacity scenario: support, what its rule selected and captured, precision and recall.
+
+    ``truth`` is what ``evaluate_capacity`` takes, with the column scenario.  Overload is matched record by record;
+    a truth row that no record carries counts as missed.  ``recall`` is null where nothing was to be found.
+    """
+    of = lambda name: truth.filter(F.col("scenario") == name)
+    size = lambda name: of(name).agg(F.count(F.lit(1)).alias("overall_truth_support"))
+    over = evaluate_capacity(injected, of(overload).drop("scenario"), threshold)
+    tp, fp, fn = (F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("true_positives", "false_positives", "false_negatives"))
+    over = with_scalars(over, injected.agg(F.count(F.lit(1)).alias("observations"))).select(
+        F.lit(overload).alias("scenario"), "observations", (tp + fn).alias("positive_support"), (tp + fp).alias("selected"), tp.alias("captured"), fp.alias("false_positives"),
+        F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)).alias("precision"), F.try_divide(tp, tp + fn).alias("recall"), F.lit(float(threshold)).alias("threshold"))
+    under = undercoverage_rows(clean, injected, of(undercoverage), probability).withColumn("scenario", F.lit(undercoverage))
+    rows = with_scalars(over, size(overload)).unionByName(with_scalars(under, size(undercoverage)))
+    return rows.withColumn("support_status", F.when(F.col("positive_support") > 0, "evaluated").otherwise("no_support"))
+
+
+def rank_shift(clean: DataFrame, injected: DataFrame, unit: Sequence[str], value: str) -> DataFrame:
+    """Units of either table with both values, their ranks (highest first, ties averaged) and the shift.
+
+    A unit that only one table has, or whose value is null in one, has no rank.  Positive shift: the unit rose.
+    Both tables hold one row per unit; they are paired in one shuffle, null keys included.
+    """
+    both = clean.select(*unit, F.col(value).cast("double").alias("clean_value")).unionByName(
+        injected.select(*unit, F.col(value).cast("double").alias("injected_value")), allowMissingColumns=True)
+    both = both.groupBy(*unit).agg(F.max("clean_value").alias("clean_value"), F.max("injected_value").alias("injected_value"))
+    paired = F.col("clean_value").isNotNull() & F.col("injected_value").isNotNull()
+    both = checkpointed(both.withColumns({"_clean": F.when(paired, F.col("clean_value")), "_injected": F.when(paired, F.col("injected_value"))}))
+    ranked = average_rank(average_rank(both, [], "_clean", "clean_rank"), [], "_injected", "injected_rank")
+    return ranked.drop("_clean", "_injected").withColumn("rank_shift", F.col("clean_rank") - F.col("injected_rank"))
+
+
+def rank_sensitivity(shifts: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """Agreement of two rankings, one row per threshold on the value.
+
+    Units above it in each ranking and in both, their overlap (shared over either; null when no unit is above), with
+    the rank correlation and the mean and largest shift of all paired units (correlation null for constant ranks).
+    """
+    a, b = F.col("clean_rank"), F.col("injected_rank")
+    paired = shifts.filter(a.isNotNull() & b.isNotNull())
+    whole = paired.agg(
+        F.count(F.lit(1)).alias("paired_units"), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias("spearman"),
+        F.avg(F.abs("rank_shift")).alias("mean_abs_shift"), F.max(F.abs("rank_shift")).alias("max_abs_shift"))
+    cells = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), (F.col("clean_value") >= t).alias("_c"), (F.col("injected_value") >= t).alias("_i")) for t in thresholds])
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    rows = paired.select(F.inline(cells)).groupBy("threshold").agg(
+        n(F.col("_c")).alias("clean_above"), n(F.col("_i")).alias("injected_above"), n(F.col("_c") & F.col("_i")).alias("both_above"), n(F.col("_c") | F.col("_i")).alias("_any"))
+    return with_scalars(rows.withColumn("overlap", F.try_divide(F.col("both_above"), F.col("_any"))).drop("_any"), whole)
 
 
 def raise_required_total(df: DataFrame, target: str, component: str, rules: CapacityRules = CapacityRules()) -> DataFrame:

@@ -6,6 +6,7 @@ from quotalens.operators import capacity as C
 from quotalens.queries.base import LEDGER, ledger
 from quotalens.queries.planning_inputs import customers, reps, transactions, visits
 from quotalens.queries.registry import query
+from quotalens.session import checkpointed
 
 RULES = C.CapacityRules()
 _V = LEDGER + """
@@ -197,3 +198,70 @@ def capacity_after_change(spark, sf):
     return out.select("rep_id", "period", "required_total_hours", "utilization_pct", "fte_gap")
 
 
+OVERLOAD, UNDERCOVERAGE = "territory_workload_exceeds_capacity", "persistent_priority_undercoverage"
+
+
+def changed_calendar(spark, sf):
+    """The calendar, a copy with 60 hours on reps busy in one city and a wider priority gap at quarter ends, and the truth."""
+    tx, rep, cust, visit = inputs(spark, sf)
+    cal = checkpointed(C.capacity_calendar(tx, rep, cust, visit, RULES)[0])
+    busy = tx.groupBy("rep_id", "period", "city").agg(F.count(F.lit(1)).alias("n")).filter("n >= 4").select("rep_id", "period").distinct()
+    marked = cal.join(busy.withColumn("busy", F.lit(True)), ["rep_id", "period"], "left").withColumns({
+        "target": F.col("required_total_hours") + F.when(F.col("busy"), 60.0).otherwise(0.0),
+        "priority_customer_coverage_gap": F.col("priority_customer_coverage_gap") + F.when(F.month("period") % 3 == 0, 3.0).otherwise(0.0)})
+    after = checkpointed(C.raise_required_total(marked, "target", "required_customer_coverage_hours", RULES))
+    entry = lambda rows, name: rows.select(
+        F.concat_ws("-", F.lit(name), "rep_id", F.date_format("period", "yyyyMM")).alias("truth_id"), F.lit(name).alias("scenario"), F.array("capacity_record_id").alias("record_ids"),
+        "period", "rep_id", F.lit(None).cast("string").alias("territory_id"), F.lit(None).cast("double").alias("required_total_hours_truth"))
+    truth = entry(after.filter("busy"), OVERLOAD).unionByName(entry(after.filter(F.month("period") % 3 == 0), UNDERCOVERAGE))
+    return cal, after.drop("busy", "target"), truth
+
+
+_CHANGED = _CAL + """
+, busy AS (SELECT DISTINCT rep_id, period FROM tc WHERE n >= 4)
+, pg AS (SELECT rep_id, period, sum(CASE WHEN pri = 'high' THEN cgap ELSE 0 END) AS pp FROM cov GROUP BY ALL)
+, ch AS (SELECT cu.rep_id, cu.period, total, util, avail, busy.rep_id IS NOT NULL AS b, total + CASE WHEN busy.rep_id IS NOT NULL THEN 60 ELSE 0 END AS t2, month(cu.period) % 3 = 0 AS q,
+   coalesce(pp, 0) AS gap FROM cu LEFT JOIN busy USING (rep_id, period) LEFT JOIN pg USING (rep_id, period))
+, cx AS (SELECT *, CASE WHEN avail > 0 THEN t2 * 100 / avail WHEN t2 > 0 THEN 10000 ELSE 0 END AS u2, gap + CASE WHEN q THEN 3 ELSE 0 END AS g2 FROM ch)"""
+
+
+@query("capacity_scenario_types", _CHANGED + """
+, th AS (SELECT quantile_cont(gap, 0.95) AS t FROM cx)
+, f AS (SELECT 'territory_workload_exceeds_capacity' AS scenario, b AS y, u2 >= 100 AS p, 100.0::DOUBLE AS threshold FROM cx
+   UNION ALL SELECT 'persistent_priority_undercoverage', q, g2 > t, t FROM cx CROSS JOIN th)
+SELECT scenario, count(*) AS observations, count(*) FILTER (y) AS positive_support, count(*) FILTER (y) AS overall_truth_support, count(*) FILTER (p) AS selected, count(*) FILTER (y AND p) AS captured,
+  count(*) FILTER (p AND NOT y) AS false_positives, CASE WHEN count(*) FILTER (p) > 0 THEN count(*) FILTER (y AND p) / count(*) FILTER (p) ELSE 0 END AS precision,
+  CASE WHEN count(*) FILTER (y) > 0 THEN count(*) FILTER (y AND p) / count(*) FILTER (y) END AS recall, threshold, CASE WHEN count(*) FILTER (y) > 0 THEN 'evaluated' ELSE 'no_support' END AS support_status
+FROM f GROUP BY scenario, threshold""", floats="precision recall threshold")
+def capacity_scenario_types(spark, sf):
+    """What the overload and the undercoverage rule find of the changes made to a copy of the calendar."""
+    return C.scenario_type_rows(*changed_calendar(spark, sf), OVERLOAD, UNDERCOVERAGE)
+
+
+_SHIFT = _CHANGED + """
+, rk AS (SELECT rep_id, period, round(util, 6) AS v1, round(u2, 6) AS v2 FROM cx)
+, sr AS (SELECT *, rank() OVER (ORDER BY v1 DESC) + (count(*) OVER (PARTITION BY v1) - 1) / 2.0::DOUBLE AS r1, rank() OVER (ORDER BY v2 DESC) + (count(*) OVER (PARTITION BY v2) - 1) / 2.0::DOUBLE AS r2 FROM rk)"""
+
+
+def shifts(spark, sf):
+    clean, after, _ = changed_calendar(spark, sf)
+    return C.rank_shift(*[t.withColumn("utilization_pct", F.round("utilization_pct", 6)) for t in (clean, after)], ["rep_id", "period"], "utilization_pct")
+
+
+@query("capacity_rank_shift", _SHIFT + """
+SELECT rep_id, period, v1 AS clean_value, v2 AS injected_value, r1 AS clean_rank, r2 AS injected_rank, r1 - r2 AS rank_shift FROM sr""", floats="clean_value injected_value clean_rank injected_rank rank_shift")
+def capacity_rank_shift(spark, sf):
+    """Rep-months in the clean and in the changed ranking by utilisation."""
+    return shifts(spark, sf)
+
+
+@query("capacity_rank_sensitivity", _SHIFT + """
+, t(x) AS (VALUES (85.0::DOUBLE), (100.0), (120.0))
+, w AS (SELECT count(*) AS paired_units, corr(r1, r2) AS spearman, avg(abs(r1 - r2)) AS mean_abs_shift, max(abs(r1 - r2)) AS max_abs_shift FROM sr)
+SELECT x AS threshold, count(*) FILTER (v1 >= x) AS clean_above, count(*) FILTER (v2 >= x) AS injected_above, count(*) FILTER (v1 >= x AND v2 >= x) AS both_above,
+  CASE WHEN count(*) FILTER (v1 >= x OR v2 >= x) > 0 THEN count(*) FILTER (v1 >= x AND v2 >= x) / count(*) FILTER (v1 >= x OR v2 >= x) END AS overlap, any_value(paired_units) AS paired_units,
+  any_value(spearman) AS spearman, any_value(mean_abs_shift) AS mean_abs_shift, any_value(max_abs_shift) AS max_abs_shift
+FROM sr CROSS JOIN t CROSS JOIN w GROUP BY x""", floats="threshold overlap spearman mean_abs_shift max_abs_shift")
+def capacity_rank_sensitivity(spark, sf):
+    """How far the ranking by utilisation moves when the calendar changes."""
+    return C.rank_sensitivity(shifts(spark, sf), [85.0, 100.0, 120.0])

@@ -136,7 +136,7 @@ def tier_range_join(spark, sf):
                        "lower_pct", "upper_pct").select("rep_id", "period", "attainment", "policy_id", "lower_pct", "payout_rate")
 
 
-@query("return_linkage_as_of", LEDGER + """
+_LINKS = LEDGER + """
 , k AS (SELECT *, order_id * 100000000 + product_id * 10 + line_number AS line_key FROM ledger)
 , pos AS (SELECT rep_id, customer_id, product_id, order_date, line_key FROM k WHERE gross_sales > 0)
 , neg AS (SELECT * FROM k WHERE gross_sales < 0)
@@ -146,7 +146,10 @@ def tier_range_join(spark, sf):
 , a1 AS (SELECT neg.*, d1.line_key AS k1, d1.order_date AS t1 FROM neg ASOF LEFT JOIN d1
          ON neg.customer_id = d1.customer_id AND neg.product_id = d1.product_id AND neg.order_date >= d1.order_date)
 , a2 AS (SELECT a1.*, d2.line_key AS k2, d2.order_date AS t2 FROM a1 ASOF LEFT JOIN d2 ON a1.customer_id = d2.customer_id AND a1.order_date >= d2.order_date)
-, a3 AS (SELECT a2.*, d3.line_key AS k3, d3.order_date AS t3 FROM a2 ASOF LEFT JOIN d3 ON a2.rep_id = d3.rep_id AND a2.order_date >= d3.order_date)
+, a3 AS (SELECT a2.*, d3.line_key AS k3, d3.order_date AS t3 FROM a2 ASOF LEFT JOIN d3 ON a2.rep_id = d3.rep_id AND a2.order_date >= d3.order_date)"""
+
+
+@query("return_linkage_as_of", _LINKS + """
 SELECT line_key, rep_id, quantity, order_date, coalesce(k1, k2, k3, line_key) AS linked_line, coalesce(t1, t2, t3, order_date) AS linked_date,
   CASE WHEN k1 IS NOT NULL THEN 1 WHEN k2 IS NOT NULL THEN 2 WHEN k3 IS NOT NULL THEN 3 ELSE 0 END AS match_level,
   CAST(order_date - coalesce(t1, t2, t3, order_date) AS INTEGER) AS days_after_order FROM a3""", floats="quantity")
@@ -158,6 +161,24 @@ def return_linkage_as_of(spark, sf):
         F.col("linked_order_date").alias("linked_date"), "match_level", "days_after_order")
 
 
+@query("return_date_repair", _LINKS + """
+, ln AS (SELECT line_key AS return_line, rep_id, coalesce(k1, k2, k3, line_key) AS order_line_id, order_date AS return_date, CAST(date_trunc('month', coalesce(t1, t2, t3, order_date)) AS DATE) AS payout_period FROM a3)
+, mv AS (SELECT line_key, max(CASE WHEN discount_pct >= 0.08 THEN last_day(order_date) ELSE order_date END) AS order_date FROM k GROUP BY 1)
+, j AS (SELECT ln.* EXCLUDE (return_date), mv.order_date AS original_order_date, CASE WHEN return_date < mv.order_date THEN CAST(mv.order_date + 1 AS DATE) ELSE return_date END AS return_date FROM ln LEFT JOIN mv ON line_key = order_line_id)
+SELECT return_line, rep_id, order_line_id, payout_period, original_order_date, return_date, CAST(return_date - original_order_date AS INTEGER) AS days_after_order,
+  coalesce(return_date > CAST(last_day(payout_period) + 15 AS DATE) AND (rep_id, payout_period) IN (SELECT (rep_id, period) FROM ledger), false) AS after_incentive_payout_flag FROM j""")
+def return_date_repair(spark, sf):
+    """Returns after strongly discounted orders have moved to their month's end."""
+    from quotalens.operators.orders import link_returns, move_to_period_end, repair_order_dates, repair_return_dates
+    led = ledger(spark, sf).withColumn("line_key", F.col("order_id") * 100000000 + F.col("product_id") * 10 + F.col("line_number"))
+    returns = link_returns(led, "gross_sales", "order_date", "line_key").select(
+        F.col("line_key").alias("return_line"), "rep_id", F.col("linked_line_key").alias("order_line_id"), F.col("order_date").alias("return_date"),
+        F.trunc("linked_order_date", "month").alias("payout_period"), F.col("linked_order_date").alias("original_order_date"), "days_after_order", F.lit(False).alias("after_incentive_payout_flag"))
+    orders = led.select(F.col("line_key").alias("order_line_id"), "period", "order_date", F.col("ship_date").alias("invoice_date"), F.date_add("ship_date", 3).alias("fulfillment_date"), (F.col("discount_pct") >= 0.08).alias("late"))
+    payouts = led.select("rep_id", F.col("period").alias("payout_period")).distinct().withColumn("payout_date", F.date_add(F.last_day("payout_period"), 15))
+    return repair_return_dates(returns, repair_order_dates(move_to_period_end(orders, "late")), payouts, "order_line_id")
+
+
 @query("calendar_shift_self_join", REP_MONTH + """
 SELECT a.rep_id, a.period, a.total_sales, b.total_sales AS next_sales, c.total_sales AS prior_sales FROM rep_month a
 LEFT JOIN rep_month b ON a.rep_id = b.rep_id AND b.period = CAST(a.period + INTERVAL 1 MONTH AS DATE)

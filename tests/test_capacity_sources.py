@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quotalens.operators import capacity as C, injection as I
+from quotalens.operators import capacity as C, injection as I, orders as O
 from quotalens.sources import readers as SR, writers as SW
 
 JAN, FEB = dt.date(2024, 1, 1), dt.date(2024, 2, 1)
@@ -146,3 +146,45 @@ def test_schema_adaptation_solves_the_missing_measure(spark):
         rows([(1.0, "2024")], "price double, year string")
     with pytest.raises(ValueError):
         rows([(1.0,)], "sales double")
+
+
+def test_rank_shift_pairs_units_and_averages_ties(spark):
+    table = lambda rows: spark.createDataFrame(rows, "rep string, v double")
+    clean, after = table([("a", 90.0), ("b", 90.0), ("c", 50.0), ("d", None), (None, 10.0), ("x", 5.0)]), table([("a", 90.0), ("b", 130.0), ("c", 101.0), ("d", 4.0), (None, 10.0), ("y", 7.0)])
+    shifts = C.rank_shift(clean, after, ["rep"], "v")
+    got = {r["rep"]: (r["clean_rank"], r["injected_rank"], r["rank_shift"]) for r in shifts.collect()}
+    assert got == {"a": (1.5, 3.0, -1.5), "b": (1.5, 1.0, 0.5), "c": (3.0, 2.0, 1.0), None: (4.0, 4.0, 0.0), "d": (None,) * 3, "x": (None,) * 3, "y": (None,) * 3}
+    rows = {r["threshold"]: r for r in C.rank_sensitivity(shifts, [85.0, 100.0, 500.0]).collect()}
+    assert (rows[85.0]["clean_above"], rows[85.0]["injected_above"], rows[85.0]["both_above"]) == (2, 3, 2) and rows[85.0]["overlap"] == pytest.approx(2 / 3)
+    assert rows[100.0]["overlap"] == 0.0 and rows[500.0]["overlap"] is None and rows[85.0]["paired_units"] == 4 and rows[85.0]["max_abs_shift"] == 1.5
+    assert rows[85.0]["spearman"] == pytest.approx(np.corrcoef([1.5, 1.5, 3, 4], [3, 1, 2, 4])[0, 1])
+    same = table([("a", 1.0), ("b", 1.0)])
+    assert C.rank_sensitivity(C.rank_shift(same, same, ["rep"], "v"), [1.0]).first()["spearman"] is None
+    assert C.rank_shift(clean.limit(0), after.limit(0), ["rep"], "v").count() == 0
+
+
+def test_scenario_rows_count_support_that_no_record_carries(spark):
+    cal = lambda rows: spark.createDataFrame([(f"CAP{i}", f"r{i}", "t", JAN, u, 10.0, g) for i, (u, g) in enumerate(rows)],
+                                             "capacity_record_id string, rep_id string, territory_id string, period date, utilization_pct double, required_total_hours double, priority_customer_coverage_gap double")
+    clean = cal([(50.0, float(i)) for i in range(21)])
+    after = cal([(150.0 if i < 3 else 50.0, i + (30.0 if i in (0, 4) else 0.0)) for i in range(21)])
+    schema = "truth_id string, scenario string, record_ids array<string>, period date, rep_id string, territory_id string, required_total_hours_truth double"
+    truth = spark.createDataFrame([("1", "over", ["CAP0"], JAN, "r0", None, None), ("2", "over", ["CAP9"], JAN, "r9", None, None), ("3", "over", ["gone"], FEB, "nobody", None, None),
+                                   ("4", "under", ["CAP0", "CAP4", "gone"], JAN, "r0", None, None), ("5", "under", ["CAP7"], JAN, "r7", None, None)], schema)
+    rows = {r["scenario"]: r for r in C.scenario_type_rows(clean, after, truth, "over", "under").collect()}
+    take = lambda r: tuple(r[c] for c in ("observations", "positive_support", "overall_truth_support", "selected", "captured", "false_positives"))
+    assert take(rows["over"]) == (21, 3, 3, 3, 1, 2) and rows["over"]["recall"] == pytest.approx(1 / 3)
+    assert take(rows["under"]) == (21, 3, 2, 3, 2, 1) and rows["under"]["threshold"] == 19.0 and rows["under"]["precision"] == pytest.approx(2 / 3)
+    none = {r["scenario"]: r for r in C.scenario_type_rows(clean, clean, truth.limit(0), "over", "under").collect()}
+    assert all(r["recall"] is None and r["support_status"] == "no_support" for r in none.values())
+
+
+def test_returns_follow_their_moved_order(spark):
+    orders = spark.createDataFrame([("l1", FEB), ("l1", JAN), ("l2", JAN)], "order_line_id string, order_date date")
+    returns = spark.createDataFrame([("l1", "r", JAN, JAN, JAN, 0, False), ("l2", "r", JAN, FEB, JAN, 0, False), ("gone", None, None, JAN, JAN, 0, True)],
+                                    "order_line_id string, rep_id string, payout_period date, return_date date, original_order_date date, days_after_order int, after_incentive_payout_flag boolean")
+    payouts = spark.createDataFrame([("r", JAN, JAN), ("r", JAN, JAN)], "rep_id string, payout_period date, payout_date date")
+    got = {r["order_line_id"]: r for r in O.repair_return_dates(returns, orders, payouts).collect()}
+    assert len(got) == 3 and (got["l1"]["return_date"] - FEB).days == 1 and got["l1"]["days_after_order"] == 1 and got["l1"]["after_incentive_payout_flag"]
+    assert got["l2"]["return_date"] == FEB and got["l2"]["original_order_date"] == JAN and got["l2"]["days_after_order"] == (FEB - JAN).days
+    assert got["gone"]["original_order_date"] is None and got["gone"]["return_date"] == JAN and not got["gone"]["after_incentive_payout_flag"]
