@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quotalens.operators import planning as P
+from quotalens.operators.ranking import null_safe_join, with_scalars
 from quotalens.queries.base import LEDGER, ledger
 from quotalens.queries.registry import query
 from quotalens.session import checkpointed
@@ -38,15 +39,29 @@ _CAP = _W + """
 , la AS (SELECT max(period) AS latest FROM rw), al AS (SELECT rw.*, workload / sum(workload) OVER (PARTITION BY rep_id) AS allocated_fte FROM rw JOIN la ON period = latest)"""
 
 
+DISTINCT = {"distinct_customers": "customer_id", "distinct_products": "product_id", "distinct_cities": "city", "distributor_count": "distributor"}
+
+
 def aggregate(df, keys):
-    d = lambda c, n: F.count_distinct(c).cast("double").alias(n)
-    return df.groupBy(*keys).agg(F.sum("sales").alias("total_sales"), d("customer_id", "distinct_customers"), F.count(F.lit(1)).cast("double").alias("transaction_count"),
-                                 d("product_id", "distinct_products"), d("city", "distinct_cities"), d("distributor", "distributor_count"))
+    """Sums and distinct counts; each count drops repeats of its own column first, so no row is moved once per count as a whole."""
+    out = df.groupBy(*keys).agg(F.sum("sales").alias("total_sales"), F.count(F.lit(1)).cast("double").alias("transaction_count"))
+    for name, c in DISTINCT.items():
+        out = null_safe_join(out, df.select(*keys, c).distinct().groupBy(*keys).agg(F.count(c).cast("double").alias(name)), keys, "left")
+    return out
+
+
+def rep_aggregate(df, rep, keys):
+    """The same for groups of one representative: their lines are moved once and counted where they arrive."""
+    lines = df.repartition(rep)
+    return lines.groupBy(rep, *keys).agg(
+        F.sum("sales").alias("total_sales"), F.count(F.lit(1)).cast("double").alias("transaction_count"),
+        *[F.size(F.collect_set(c)).cast("double").alias(name) for name, c in DISTINCT.items()])
 
 
 def rep_units(spark, sf):
-    led = ledger(spark, sf)
-    return led, P.workload_index(aggregate(led, ["rep_id", *UNIT, "period"]), WEIGHTS, F.col("period") <= F.to_date(F.lit(TRAIN)))
+    """The ledger's columns that planning reads, written once, and the workload per representative, unit and month."""
+    led = checkpointed(ledger(spark, sf).select("rep_id", *UNIT, "period", "sales", *DISTINCT.values()))
+    return led, P.workload_index(checkpointed(rep_aggregate(led, "rep_id", [*UNIT, "period"])), WEIGHTS, F.col("period") <= F.to_date(F.lit(TRAIN)))
 
 
 def units(spark, sf):
@@ -107,7 +122,6 @@ def fte_allocation(spark, sf):
 SELECT team, country, product_class, w / capacity AS required_fte, w / capacity - fte AS fte_gap, greatest(w / capacity - fte, 0) AS additional_fte_need, fte * capacity AS current_capacity, w / capacity / fte AS utilization
 FROM u CROSS JOIN cap""", floats="required_fte fte_gap additional_fte_need current_capacity utilization")
 def staffing_need(spark, sf):
-    from quotalens.operators.ranking import with_scalars
     ru = units(spark, sf)[1]
     alloc = P.fte_allocation(ru, "rep_id", "period", "workload", ru.agg(F.max("period").alias("latest")))
     u = alloc.groupBy(*UNIT).agg(F.sum("workload").alias("w"), F.sum("allocated_fte").alias("fte"))
