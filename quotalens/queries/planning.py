@@ -52,7 +52,7 @@ def aggregate(df, keys):
 
 def rep_aggregate(df, rep, keys):
     """The same for groups of one representative: their lines are moved once and counted where they arrive."""
-    lines = df.repartition(rep)
+    lines = df.repartition(rep, *keys)
     return lines.groupBy(rep, *keys).agg(
         F.sum("sales").alias("total_sales"), F.count(F.lit(1)).cast("double").alias("transaction_count"),
         *[F.size(F.collect_set(c)).cast("double").alias(name) for name, c in DISTINCT.items()])

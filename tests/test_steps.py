@@ -44,3 +44,18 @@ def test_distinct_counts_without_a_copy_of_each_row_per_count(spark):
         assert "Expand" not in plan_text(got)
         want = led.groupBy(*keys).agg(F.sum("sales").alias("total_sales"), F.count(F.lit(1)).cast("double").alias("transaction_count"), *[F.count_distinct(c).cast("double").alias(n) for n, c in names.items()])
         assert got.select(*want.columns).exceptAll(want).isEmpty() and want.count() == got.count()
+
+
+def test_a_customer_meets_the_facts_of_its_months_without_moving_the_months(spark):
+    """No exchange of the grid: nothing is dealt by customer and month above the rows laid out per month."""
+    from quotalens.operators import capacity as C
+    tx = spark.createDataFrame([(1, "1997-01-01", 7, "x"), (1, "1997-03-01", 7, "x"), (2, "1997-03-01", 7, "x"), (2, "1997-03-01", 7, "x"), (2, None, 8, "x")], "rep_id long, period string, customer_id long, city string").withColumn("period", F.to_date("period"))
+    visits = C.prepare_visits(tx.select("rep_id", "period", "customer_id", F.col("city").alias("territory_id")))
+    customers = spark.createDataFrame([(7, "x", "high"), (8, "x", "low")], "customer_id long, territory_id string, customer_priority string")
+    reps = spark.createDataFrame([(1, "x"), (2, "x")], "rep_id long, territory_id string")
+    owned = C.customer_owners(tx.filter("period IS NOT NULL"), visits, customers, reps)
+    covered = C.coverage(owned, visits)
+    rows = {(r["customer_id"], str(r["period"])): (r["rep_id"], r["observed_visit_count"], r["servicing_rep_count"]) for r in covered.filter("customer_id = 7").collect()}
+    assert rows[(7, "1997-01-01")] == (1, 1.0, 1.0) and rows[(7, "1997-02-01")][1:] == (0.0, 0.0) and rows[(7, "1997-03-01")] == (2, 3.0, 2.0)
+    text = plan_text(owned)
+    assert "Exchange" not in text[:text.index("Generate explode")]
