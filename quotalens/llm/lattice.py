@@ -59,7 +59,7 @@ class Pieces:
         self.sizes = np.array([len(t) for t in self.text], np.int64)
         self.flat = np.frombuffer(b"".join(self.text), np.uint8)
         self.place = np.cumsum(self.sizes) - self.sizes
-        #: For each length: sorted hashes of the prefixes of pieces, and the piece that ends there or -1.
+        #: For each length: sorted hashes of the prefixes of pieces, the piece that ends there or -1, and where hashes of the same first bits begin.
         by_length: dict[int, dict[bytes, int]] = {}
         for t in found:
             for k in range(1, len(t) + 1):
@@ -70,7 +70,10 @@ class Pieces:
             raw = np.frombuffer(b"".join(rows), np.uint8)
             names = byte_prefix(raw).names(np.arange(len(rows)) * k, k)
             order = np.argsort(names)
-            self.tables.append((names[order], np.array([by_length[k][r] for r in rows])[order]))
+            names, whole = names[order], np.array([by_length[k][r] for r in rows])[order]
+            bits = len(names).bit_length() + 2
+            heads = np.searchsorted(names >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+            self.tables.append((np.append(names, ~np.uint64(0)), np.append(whole, -1), heads, np.uint64(64 - bits)))
 
     @classmethod
     def of(cls, model: str) -> "Pieces":
@@ -88,13 +91,19 @@ class Pieces:
         width = np.ones(n, np.int64)
         for low, size in ((0xC0, 2), (0xE0, 3), (0xF0, 4)):
             width[data >= low] = size
-        for k, (names, piece) in enumerate(self.tables, 1):
+        for k, (names, piece, heads, shift) in enumerate(self.tables, 1):
             at = at[at + k <= stop[at]]
             if not len(at):
                 break
             own = prefix.names(at, k)
-            i = np.minimum(np.searchsorted(names, own), len(names) - 1)
-            alive = names[i] == own
+            i = heads[own >> shift]
+            found = names[i]
+            behind = np.flatnonzero(found < own)
+            while len(behind):
+                i[behind] += 1
+                found[behind] = names[i[behind]]
+                behind = behind[found[behind] < own[behind]]
+            alive = np.flatnonzero(found == own)
             at, i = at[alive], i[alive]
             whole = piece[i] >= 0
             froms.append(at[whole]), tos.append(at[whole] + k), pieces.append(piece[i[whole]])
@@ -117,34 +126,38 @@ def _units(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _forward(frm: np.ndarray, to: np.ndarray, weight: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     """Edges in order of their end, with the share of each among those of its end, cumulated; and where each end's edges begin."""
-    order = np.lexsort((frm, to))
+    order = np.argsort((to << 32) | frm)  # no two pieces share both ends
     frm, to, weight = frm[order], to[order], weight[order]
     n = int(sizes.sum())
-    first = np.searchsorted(to, np.arange(n + 2))
+    first = np.concatenate([[0], np.cumsum(np.bincount(to, minlength=n + 1))])
     total = np.full(n + 1, -np.inf)
-    share = np.empty(len(to))
-    # ends at the same distance from their unit's begin are filtered together
-    offset = np.arange(n) - np.repeat(begin, sizes) + 1
-    by_offset = np.argsort(offset, kind="stable")
-    cuts = np.searchsorted(offset[by_offset], np.arange(1, int(sizes.max(initial=0)) + 2))
     is_begin = np.zeros(n + 1, bool)
     is_begin[begin] = True
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        ends = by_offset[a:b] + 1
-        counts = first[ends + 1] - first[ends]
-        ends, counts = ends[counts > 0], counts[counts > 0]
-        if not len(ends):
+    # ends at the same distance from their unit's begin are filtered together, so their edges are laid side by side
+    longest = int(sizes.max(initial=0))
+    offset = (np.arange(n) - np.repeat(begin, sizes) + 1).astype(np.uint16 if longest < 1 << 16 else np.int64)[to - 1]
+    by_offset = np.argsort(offset, kind="stable")
+    source, end, value_of = frm[by_offset], to[by_offset], weight[by_offset]
+    starts = is_begin[source]
+    heads = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]])) if len(end) else np.zeros(0, np.int64)
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(offset, minlength=longest + 1)[1:])])
+    head_cuts = np.searchsorted(heads, cuts)
+    laid = np.empty(len(to))
+    for a, b, c, d in zip(cuts[:-1], cuts[1:], head_cuts[:-1], head_cuts[1:]):
+        if a == b:
             continue
-        heads = np.cumsum(counts) - counts
-        e = np.repeat(first[ends] - heads, counts) + np.arange(counts.sum())
-        value = np.where(is_begin[frm[e]], 0.0, total[frm[e]]) + weight[e]
-        top = np.maximum.reduceat(value, heads)
+        own = heads[c:d]
+        ends, counts = end[own], np.diff(own, append=b)
+        value = np.where(starts[a:b], 0.0, total[source[a:b]]) + value_of[a:b]
+        top = np.maximum.reduceat(value, own - a)
         reached = np.isfinite(top)
         scaled = np.exp(value - np.repeat(np.where(reached, top, 0.0), counts))
-        mass = np.add.reduceat(scaled, heads)
+        mass = np.add.reduceat(scaled, own - a)
         # an end that is the next unit's begin keeps its own sum in share alone
         total[ends] = np.where(reached, top + np.log(np.maximum(mass, 1e-300)), -np.inf)
-        share[e] = scaled / np.repeat(np.where(mass > 0, mass, 1.0), counts)
+        laid[a:b] = scaled / np.repeat(np.where(mass > 0, mass, 1.0), counts)
+    share = np.empty(len(to))
+    share[by_offset] = laid
     # whole numbers: what comes before an end cannot change the last bits of its shares
     running = np.concatenate([np.zeros(1, np.uint64), np.cumsum((share * (1 << SHARE_BITS)).astype(np.uint64))])
     return frm, to, running[1:] - np.repeat(running[first[:-1]], np.diff(first))[: len(to)], first, order
@@ -185,27 +198,33 @@ class Sampler:
         frm, to, share, first, order = _forward(frm, to, self.smoothing * self.pieces.log_weight[piece], heads, sizes)
         piece = piece[order]
 
-        owner = np.searchsorted(at[1:], begin, "right")
-        ordinal = np.arange(len(begin)) - np.searchsorted(owner, owner)
-        rows = mix(keys[owner].view(np.uint64) ^ self.seed)
-        where, low = heads[kind] + sizes[kind], heads[kind]
-        active, drawn = np.arange(len(begin)), []
+        before = np.searchsorted(begin, at)
+        owner = np.repeat(np.arange(len(texts)), np.diff(before))
+        ordinal = np.arange(len(begin)) - before[owner]
+        by_kind = np.argsort(kind)  # equal units side by side, as they look up the same shares
+        rows, ordinal = mix(keys[owner].view(np.uint64) ^ self.seed)[by_kind], ordinal[by_kind]
+        low = heads[kind[by_kind]]
+        stop, active, drawn = low + sizes[kind[by_kind]], np.arange(len(begin)), []
         key = (to.astype(np.uint64) << np.uint64(SHARE_BITS)) + share  # the end's number, and the cumulated share behind it
+        last = first[1:][np.diff(first) > 0] - 1
+        key[last] = (to[last] + 1).astype(np.uint64) << np.uint64(SHARE_BITS)  # an end's last edge takes what rounding left
         while len(active):
-            stop = where[active]
-            u = _draw(rows[active], ordinal[active], len(drawn))
-            e = np.clip(np.searchsorted(key, (stop.astype(np.uint64) << np.uint64(SHARE_BITS)) + u, "right"), first[stop], first[stop + 1] - 1)
+            u = _draw(rows, ordinal, len(drawn))
+            e = np.searchsorted(key, (stop.astype(np.uint64) << np.uint64(SHARE_BITS)) + u, "right")
             drawn.append((active, piece[e]))
-            where[active] = frm[e]
-            active = active[frm[e] > low[active]]
-        counts = np.zeros(len(begin), np.int64)
+            stop = frm[e]
+            more = np.flatnonzero(stop > low)
+            active, stop, low, rows, ordinal = active[more], stop[more], low[more], rows[more], ordinal[more]
+        steps = np.zeros(len(begin), np.int64)
         for who, _ in drawn:
-            counts[who] += 1
+            steps[who] += 1
+        counts = np.empty_like(steps)
+        counts[by_kind] = steps
         ends = np.cumsum(counts)
-        out = np.empty(int(ends[-1]), np.int32)
+        out, final = np.empty(int(ends[-1]), np.int32), ends[by_kind] - 1
         for step, (who, ids) in enumerate(drawn):
-            out[ends[who] - 1 - step] = ids
-        return out, np.concatenate([[0], ends])[np.searchsorted(begin, at)]
+            out[final[who] - step] = ids
+        return out, np.concatenate([[0], ends])[before]
 
 
 def sampled_pieces(docs: DataFrame, model: str = MODEL, smoothing: float = 1.0, seed: int = 0) -> DataFrame:

@@ -9,6 +9,7 @@ import sentencepiece
 from conftest import rows_of
 from hypothesis import given, settings, strategies as st
 
+from quotalens.llm import lattice
 from quotalens.llm.hashing import text_bytes
 from quotalens.llm.lattice import MODEL, Pieces, Sampler, decoded, sampled_pieces
 from quotalens.llm.tokens import tokenizer_path
@@ -73,3 +74,16 @@ def test_query_shape(made):
     assert sorted(map(str, back.select("doc_id", "text").collect())) == sorted(map(str, made.selectExpr("doc_id", "coalesce(text, '') AS text").collect()))
     assert sorted(map(str, rows_of(sampled_pieces(made.repartition(2))))) == sorted(map(str, rows_of(pieces)))
     assert rows_of(decoded(sampled_pieces(made.limit(0)))) == []
+
+
+def test_equal_units_are_drawn_side_by_side(monkeypatch):
+    first, real = [], lattice._draw
+
+    def seen(rows, ordinal, step):
+        first.append(ordinal.tolist())
+        return real(rows, ordinal, step)
+
+    monkeypatch.setattr(lattice, "_draw", seen)
+    draw(["xyq jkv " * 40])
+    kinds = [n % 2 for n in first[0] if n < 80]
+    assert sorted(first[0]) == list(range(len(first[0]))) and sum(a != b for a, b in zip(kinds, kinds[1:])) == 1
