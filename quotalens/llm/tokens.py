@@ -10,9 +10,10 @@ import numpy as np
 
 from quotalens.llm.hashing import LOWER, SPACE, slices, stretch_names, text_bytes, unique_names
 
-SLICE_BYTES = 2 << 20
+#: A slice's index arrays take some 25 times its bytes, in each worker of an executor.
+SLICE_BYTES = 3 << 18
 #: Words that a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 1_000_000
 
 
 def tokenizer_path(name: str) -> str:

@@ -1,5 +1,6 @@
 """Encoding, packing and wavelet files against the tokenizer itself and plain lists."""
 
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -155,3 +156,14 @@ def test_queries_give_special_literals_their_ids(spark, tmp_path):
     want = [(d, crc([*loaded("word_bpe_49k.json")(t), 0])) for d, t in enumerate(texts)]
     for out in (QUERIES["op10_best_fit_packing"](spark, str(tmp_path)), packing(spark, docs, "")):
         assert sorted((r.doc_id, r.ids_crc32) for r in out.collect()) == want
+
+
+def test_an_encoder_takes_little_beside_its_words():
+    encoder = Encoder.of("word_bpe_49k.json", words=True)
+    texts = pa.array(["word and other words " * 10_000] * 16)
+    list(encoder.encode(texts))
+    tracemalloc.start()
+    list(encoder.encode(texts))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40_000_000  # 86 MB with slices of 2 MB
