@@ -162,15 +162,16 @@ def interpolate(probes: DataFrame, reference: DataFrame, keys: Sequence[str], x:
     point = F.when(F.col("_y").isNotNull(), F.struct(F.col(x).alias("x"), F.col("_y").alias("y")))
     edges = cut.groupBy(*keys, "_bucket").agg(F.max(point).alias("_top"), F.min(point).alias("_bottom"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(1, W.unboundedFollowing)
+    after = W.partitionBy(*keys).orderBy(F.col("_bucket").desc()).rowsBetween(W.unboundedPreceding, -1)
     carried = edges.select(
         *keys, "_bucket", F.last("_top", ignorenulls=True).over(before).alias("_from_before"),
-        F.first("_bottom", ignorenulls=True).over(after).alias("_from_after"))
-    inside = W.partitionBy(*keys, "_bucket").orderBy(x)
+        F.last("_bottom", ignorenulls=True).over(after).alias("_from_after"))
+    # a frame that runs to the end is summed anew for every row, so what follows is looked up in falling order
+    inside = W.partitionBy(*keys, "_bucket")
     near = cut.select(
         *keys, x, "_bucket",
-        F.last(point, ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)).alias("_lo"),
-        F.first(point, ignorenulls=True).over(inside.rowsBetween(0, W.unboundedFollowing)).alias("_hi"))
+        F.last(point, ignorenulls=True).over(inside.orderBy(x).rowsBetween(W.unboundedPreceding, 0)).alias("_lo"),
+        F.last(point, ignorenulls=True).over(inside.orderBy(F.col(x).desc()).rowsBetween(W.unboundedPreceding, 0)).alias("_hi"))
     near = null_safe_join(near, carried, [*keys, "_bucket"], "inner")
     lo, hi = F.coalesce("_lo", "_from_before"), F.coalesce("_hi", "_from_after")
     near = near.withColumn("_a", F.coalesce(lo, hi)).withColumn("_b", F.coalesce(hi, lo))
