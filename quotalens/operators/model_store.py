@@ -91,8 +91,7 @@ def load_model(rows: DataFrame, name: str):
         tree = build_tree(fitted, row_id, "vector", int(leaf_rows))
         cores = tree.rows.select("id", "vector").join(fitted.filter("core").select(F.col(row_id).alias("id"), "label"), ["id"])
         core_labels = checkpointed(cores.select("id", "label"))
-        core_tree = None if core_labels.isEmpty() else build_tree(cores.select("id", "vector"), "id", "vector", int(leaf_rows))
-        return DbscanModel(eps, int(least), row_id, fitted.select(row_id, "label", "core"), tree, core_tree, core_labels, int(leaf_rows))
+        return DbscanModel(eps, int(least), row_id, fitted.select(row_id, "label", "core"), tree, cores.select("id", "vector"), core_labels, int(leaf_rows))
     parts: dict[str, list] = {}
     for r in own.orderBy("part", "position").collect():  # as many rows as the fit sent
         parts.setdefault(r["part"], []).append(r)

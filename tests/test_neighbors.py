@@ -1,6 +1,7 @@
 import numpy as np
+from pyspark.sql import functions as F
 
-from quotalens.operators import clustering as K, forest as FO, preprocess as PP, reconstruction as RC
+from quotalens.operators import clustering as K, forest as FO, metric_tree as T, preprocess as PP, reconstruction as RC
 
 
 def cloud(spark, n=400, seed=3):
@@ -115,3 +116,26 @@ def test_new_rows_take_the_nearest_core(spark):
     assert model.predict(rows, "row").filter("row = 99999").first().label is None
     nothing = K.fit_dbscan(df.filter("id < 4"), "id", 1e-9, 3)
     assert nothing.core_tree is None and {r.label for r in nothing.predict(rows, "row").collect()} == {None}
+
+
+def test_wide_vectors_are_measured_exactly_where_it_matters():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(50, 64)) + 100
+    y = np.concatenate([x[:20], x[20:40] + 1e-9, rng.normal(size=(30, 64)) + 100])
+    want = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+    got = T.distances(x, y)
+    assert np.allclose(got, want, rtol=1e-9, atol=0) and (np.diag(got)[:20] == 0).all()
+    for eps in want[3, 60:70]:
+        assert ((T.distances(x, y, eps) <= eps) == (want <= eps)).all()
+
+
+def test_a_row_meets_leaves_in_groups(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 32))
+    x /= np.sqrt(np.square(x).sum(1))[:, None]
+    df = spark.createDataFrame([(i + 2**60, [float(a) for a in v]) for i, v in enumerate(x)], "id long, vector array<double>")
+    tree = T.build_tree(df, "id", leaf_rows=20)
+    own = T.own_queries(tree)
+    pairs, _ = T.near_leaves(tree, own.blocks.withColumn("bound", F.lit(3.0)))
+    met = T.visit(tree, own, pairs, lambda ids, others, _, d, *__: {"id": ids, "n": np.full(len(ids), len(others))}, "id long, n long").toPandas()
+    assert pairs.count() > 300 and len(met) == 300 and (met.n == 300).all() and set(met.id) == {i + 2**60 for i in range(300)}
