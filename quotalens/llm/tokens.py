@@ -35,11 +35,13 @@ class Encoder:
     ``special``: a special token's literal in a text gets the token's id, as the library does unless told
     otherwise; else it is text like any other.  A text with such a literal is one unit and keeps its case,
     as these tokens are matched before the rest is normalised and cut.
+
+    ``slice_bytes`` and ``remembered`` trade a worker's memory for time, never for ids.
     """
 
-    _made: dict[tuple[str, bool, bool], "Encoder"] = {}
+    _made: dict[tuple, "Encoder"] = {}
 
-    def __init__(self, path: str, words: bool, special: bool = False):
+    def __init__(self, path: str, words: bool, special: bool = False, slice_bytes: int = SLICE_BYTES, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,14 +51,15 @@ class Encoder:
         self.literals = [LOWER[np.frombuffer(t.content.encode(), np.uint8)].tobytes() for t in added]
         #: What each literal begins with in any case.
         self.marks = {re.match(rb"[^a-z]*", literal)[0] for literal in self.literals}
-        self.words = words
+        self.words, self.slice_bytes, self.remembered = words, slice_bytes, remembered
         self.forget()
 
     @classmethod
-    def of(cls, path: str, words: bool, special: bool = False) -> "Encoder":
-        if (path, words, special) not in cls._made:
-            cls._made[path, words, special] = cls(path, words, special)
-        return cls._made[path, words, special]
+    def of(cls, path: str, words: bool, special: bool = False, slice_bytes: int = SLICE_BYTES, remembered: int = REMEMBERED) -> "Encoder":
+        key = (path, words, special, slice_bytes, remembered)
+        if key not in cls._made:
+            cls._made[key] = cls(*key)
+        return cls._made[key]
 
     def forget(self):
         self.known, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # names in order, and the row of each
@@ -150,7 +153,7 @@ class Encoder:
             data = np.where(self.inside(whole, at), data, LOWER[data]) if len(whole) else LOWER[data]
         begin, end = self.units(data, at, whole)
         names, place, _ = unique_names(stretch_names(data, begin, end))
-        if len(self.known) + len(names) > REMEMBERED:
+        if len(self.known) + len(names) > self.remembered:
             self.forget()
         some = np.zeros(len(names), np.int64)
         some[place] = np.arange(len(place))
@@ -172,6 +175,6 @@ class Encoder:
     def encode(self, column):
         """(first row, ids, begins) for slices of an Arrow string column."""
         data, at = text_bytes(column)
-        for low, high in slices(at, SLICE_BYTES):
+        for low, high in slices(at, self.slice_bytes):
             ids, begins = self.encode_slice(data[at[low] : at[high]], at[low : high + 1] - at[low])
             yield low, ids, begins

@@ -19,6 +19,8 @@ from quotalens.llm.tokens import Encoder
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 SHARD_TOKENS = 1 << 20
+# A worker that writes shards has room for larger slices and more words than one beside other stages.
+SLICE_BYTES, REMEMBERED = 1 << 21, 1_200_000
 _HEAD = struct.Struct("<4sIQ")
 _BLOCK = 512
 
@@ -155,7 +157,7 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
         from pyspark import TaskContext
 
         part, shard = TaskContext.get().partitionId(), 0
-        encoder = Encoder.of(vocabulary, words=False, special=special)
+        encoder = Encoder.of(vocabulary, words=False, special=special, slice_bytes=SLICE_BYTES, remembered=REMEMBERED)
         keys, sizes, rows, held = [], [], [], 0
 
         def flush():

@@ -167,3 +167,15 @@ def test_an_encoder_takes_little_beside_its_words():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 40_000_000  # 86 MB with slices of 2 MB
+
+
+def test_slices_and_memory_change_no_ids():
+    want, texts = plain("byte_bpe_50k.json"), [t or "" for _, t, _ in AWKWARD] * 3
+    small = Encoder.of("byte_bpe_50k.json", words=False, slice_bytes=64, remembered=40)
+    assert small is not Encoder.of("byte_bpe_50k.json", words=False)
+    got, forgot = [], small.forget
+    times = []
+    small.forget = lambda: (times.append(1), forgot())
+    for _, ids, begins in small.encode(pa.array(texts, pa.string())):
+        got += [ids[a:b].tolist() for a, b in zip(begins, begins[1:])]
+    assert got == [want(t) for t in texts] and times
