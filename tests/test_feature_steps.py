@@ -74,3 +74,13 @@ def test_peer_statistics_meet_the_rows_without_moving_them(spark):
         own = [v for _, k, v in values if k == r.k]
         cohort = own if len(own) >= 3 else everything
         assert (r["_peer_median"], round(r["_peer_mean"], 9), round(r["_peer_std"], 9)) == (float(np.median(cohort)), round(float(np.mean(cohort)), 9), round(float(np.std(cohort, ddof=1)), 9))
+
+
+def test_cohort_medians_meet_the_rows_without_moving_them(spark):
+    df = spark.createDataFrame([(i, "xyz"[i % 3], float((i * 17) % 23)) for i in range(60)], "id long, k string, v double")
+    out = P.cohort_relative(df, "id", ["v"], {"k": ["k"]})
+    assert "Exchange hashpartitioning" not in plan_text(out)
+    value = {r.id: r for r in df.collect()}
+    for r in out.collect():
+        own = float(np.median([x.v for x in value.values() if x.k == value[r.id].k]))
+        assert abs(r.relative - (value[r.id].v - own) / max(abs(own), 1.0)) < 1e-12
